@@ -137,3 +137,16 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         before = now
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))
+
+
+def range_cuts(keys: DataFrame, cols: list[str], rows_per_bucket: int = 50_000) -> tuple[list[tuple], list[tuple]]:
+    """The first and the last key of each of some ranges that split keys by order; one pair for each range.
+
+    What reaches the driver is bounded by the number of ranges, not by rows. No key lies in two ranges.
+    """
+    spark = keys.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // rows_per_bucket))
+    dealt = keys.repartitionByRange(n, *cols).select(F.spark_partition_id().alias("pid"), F.struct(*cols).alias("k"))
+    ends = dealt.groupBy("pid").agg(F.min("k").alias("a"), F.max("k").alias("z")).collect()
+    ends = sorted((tuple(r.a), tuple(r.z)) for r in ends)
+    return [a for a, _ in ends], [z for _, z in ends]
