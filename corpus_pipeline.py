@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import common, simhash
+from quillspark.llm import common, langid, mixing, packing, pii, simhash
 
+#: Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
+    ("language_id", langid.stage),
     ("simhash_near_dedup", simhash.stage),
+    ("pii_pseudonyms", pii.stage),
+    ("source_mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 #: SQL can't express the fingerprints' components, the samples or the packing; tests hold stages against brute force.
 ORACLE_SQL = None
