@@ -1,8 +1,10 @@
 """Packing token sequences by cutting stock with column generation.
 
-Tokenisation: ids come from the tokenizers library. Spaces between two characters that aren't white space always
-begin a pre-token of this byte-level BPE, so a text is cut there and the ids of each piece are kept in a bounded
-table of the task; texts with other spacing or with the special token's string are encoded whole.
+Tokenisation: ids come from the tokenizers library. A space between two characters that aren't white space always
+begins a pre-token of this byte-level BPE, line breaks there are pre-tokens of their own, and marks that follow a
+word of letters begin one: a text is cut at the former, a new piece also at the latter, and the ids of each piece
+are kept in a bounded table of the task. Texts with other spacing or with the special token's string are encoded
+whole.
 
 Cuts: a document's ids give full sequences of ``capacity`` ids; of the rest, a head that is a multiple of ``grain``
 and a tail shorter than it. Every second head (by hash of doc_id) is cut once more, at a multiple of the grain that
@@ -31,12 +33,19 @@ from .common import materialize, prepare
 
 CAPACITY, GRAIN, END = 2048, 32, 1
 #: Pieces whose ids a task keeps at once.
-KEPT = 400_000
+KEPT = 700_000
 BUCKETS = 256
-ODD = re.compile(r" \s|\s |<\|")
+OTHER = re.compile(r"[^\S \n]")
+MARKED = re.compile(r"(\n*[^\W\d_]+)([!\"#$%&()*+,./:;<=>?@\[\\\]^`{|}~-]+)")
+LINES = re.compile(r"(\n+)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def odd(text: str) -> bool:
+    """Whether a text has spacing, or the special token's string, that pieces can't be cut at."""
+    return "  " in text or " \n" in text or "\n " in text or "<|" in text or OTHER.search(text) is not None
+
+
 class Encoder:
     """Ids as bytes (unsigned 32 bits, little-endian) of whole texts."""
 
@@ -49,27 +58,43 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(name if os.path.exists(name) else public_tokenizers.path(name))
         self.kept: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.tok.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)):
-            self.kept[p] = np.array(e.ids, "<u4").tobytes()
+    def learn(self, pieces: set[str]) -> None:
+        """Keep the ids of new pieces: a word and the marks behind it apart, if it has any."""
+        kept, parts = self.kept, {}
+        for p in pieces:
+            if m := MARKED.fullmatch(p):
+                parts[p] = m.groups()
+        new = pieces - parts.keys()
+        new.update(w for w, _ in parts.values() if w not in kept)
+        marks = {x for _, x in parts.values()} - self.marks.keys()
+        new = list(new)
+        for p, e in zip(new, self.tok.encode_batch_fast([p if p[:1] == "\n" else " " + p for p in new], add_special_tokens=False)):
+            kept[p] = np.array(e.ids, "<u4").tobytes()
+        for x in marks:
+            self.marks[x] = self.whole(x)
+        for p, (w, x) in parts.items():
+            kept[p] = kept[w] + self.marks[x]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        cut = [None if ODD.search(t) else t.split(" ") for t in texts]
-        out = []
-        for at in range(0, len(texts), 100):
-            new = {w for c in cut[at : at + 100] if c for w in c[1:]} - self.kept.keys()
-            self.learn(list(new))
-            get = self.kept.__getitem__
-            for t, c in zip(texts[at : at + 100], cut[at : at + 100]):
-                out.append(self.whole(t) if c is None else b"".join([self.whole(c[0]) if c[0] else b"", *map(get, c[1:])]))
-        return out
+        for table in (self.kept, self.marks):
+            if len(table) > KEPT:
+                table.clear()
+        cut = [None if odd(t) else (LINES.sub(r" \1", t) if "\n\n" in t else t.replace("\n", " \n")).split(" ") for t in texts]
+        new: set[str] = set()
+        for c in cut:
+            if c:
+                new.update(c[1:])
+        new -= self.kept.keys()
+        if new:
+            self.learn(new)
+        get = self.kept.__getitem__
+        return [self.whole(t) if c is None else b"".join([self.whole(c[0]) if c[0] else b"", *map(get, c[1:])]) for t, c in zip(texts, cut)]
 
 
 def encoder(name: str) -> Encoder:
