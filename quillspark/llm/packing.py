@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array as packed
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,7 @@ class Encoder:
         marks = {x for _, x in parts.values()} - self.marks.keys()
         new = list(new)
         for p, e in zip(new, self.tok.encode_batch_fast([p if p[:1] == "\n" else " " + p for p in new], add_special_tokens=False)):
-            kept[p] = np.array(e.ids, "<u4").tobytes()
+            kept[p] = packed("I", e.ids).tobytes()
         for x in marks:
             self.marks[x] = self.whole(x)
         for p, (w, x) in parts.items():
