@@ -151,11 +151,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as many times as the mix takes it."""
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")).alias("_s")]
-    nth = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0)))
+    """Pipeline stage: each document as many times as the mix takes it.
+
+    Texts are shuffled once: the join and the numbering of rows with one id and text use the same keys."""
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h")]
     taken = mix(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("h").alias("_h"), "copies")
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_h").orderBy("copies"))).where("copies > 0")
-    rows = docs.select(*docs.columns, *key[:2]).withColumn("_n", nth)
-    rows = rows.join(taken, ["_d", "_h", "_n"]).withColumn("_x", F.explode(F.sequence(F.lit(1), "copies")))
-    return rows.select(*docs.columns)
+    taken = taken.groupBy("_d", "_h").agg(F.sort_array(F.collect_list("copies")).alias("_c")).where("exists(_c, x -> x > 0)")
+    nth = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0)))
+    rows = docs.select(*docs.columns, *key).join(taken, ["_d", "_h"]).withColumn("_k", F.element_at("_c", nth)).where("_k > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_k")).alias("_x")).drop("_x")
