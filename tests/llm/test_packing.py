@@ -35,6 +35,29 @@ def test_against_the_tokenizer(spark):
     assert len(seqs) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+def test_ranks_give_the_ids_of_the_library():
+    enc = packing.encoder("byte_bpe_50k.json")
+    assert enc.fast
+    rnd = random.Random(4)
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    rnd.shuffle(points)
+    for at in range(0, len(points), 40):
+        text = "".join(f"a{c}b {c}{c} 1{c}2\n {c}'s  {c}!{c}." for c in map(chr, points[at : at + 40]))
+        assert enc.ids(text) == enc.whole(text)
+    for text in ("a" * 50_000, " " * 999 + "x", " " * 5000, "\n" * 3000 + "b", "!?" * 9000, "x<|endoftext|>y", "".join(rnd.choices("abcdefgh", k=50_000))):
+        assert enc.ids(text) == enc.whole(text)
+
+
+def test_other_tokenizers_go_through_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    enc = packing.encoder("word_bpe_49k.json")
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert not enc.fast
+    assert np.frombuffer(enc.ids("Some Words, here"), "<u4").tolist() == tok.encode("Some Words, here", add_special_tokens=False).ids
+
+
 def test_patterns_use_each_length_exactly():
     rnd = random.Random(1)
     for _ in range(5):
