@@ -45,6 +45,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def columns(df: DataFrame) -> list[F.Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until df has no column of that name."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, where it is unset."""
     sc = spark.sparkContext

@@ -13,7 +13,8 @@ chosen by hash of doc_id); languages with fewer use all. Predictions read text o
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null lang isn't learned from; texts
 whose n-grams are all unknown get the language with most labelled documents and score 0; with nothing to learn from,
 all are ``und``; equal counts go to the first language by name; rows that repeat get the same answer; an empty table
-gives an empty result; extra columns are ignored; a document with null doc_id is not held out, and not learned from.
+gives an empty result; extra columns are ignored and stay, but for a lang_pred or score, which predictions replaces; a
+document with null doc_id is not held out, and not learned from.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import columns, fresh, prepare
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (3, 4)
@@ -145,7 +146,9 @@ def predictions(docs: DataFrame, **bounds) -> DataFrame:
     """docs with lang_pred and score added, learned from its own labelled rows that aren't held out."""
     spark = prepare(docs.sparkSession)
     guess = predictor(spark, train(docs, **bounds))
-    return docs.withColumn("_g", guess("text")).select(*docs.columns, F.col("_g.lang_pred").alias("lang_pred"), F.col("_g.score").alias("score"))
+    docs = docs.drop("lang_pred", "score")
+    (g,) = fresh(docs, "_g")
+    return docs.withColumn(g, guess("text")).select(*columns(docs), F.col(g)["lang_pred"].alias("lang_pred"), F.col(g)["score"].alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -157,4 +160,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose text shows no language (``und``) go."""
     guess = predictor(prepare(spark), train(docs))
-    return docs.withColumn("_g", guess("text")).where("_g.lang_pred <> 'und'").select(*docs.columns)
+    (g,) = fresh(docs, "_g")
+    return docs.withColumn(g, guess("text")).where(F.col(g)["lang_pred"] != "und").select(*columns(docs))

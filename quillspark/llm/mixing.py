@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import columns, fresh, materialize, prepare
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
 BLOCK = 4096
@@ -154,9 +154,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as many times as the mix takes it.
 
     Texts are shuffled once: the join and the numbering of rows with one id and text use the same keys."""
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h")]
-    taken = mix(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("h").alias("_h"), "copies")
-    taken = taken.groupBy("_d", "_h").agg(F.sort_array(F.collect_list("copies")).alias("_c")).where("exists(_c, x -> x > 0)")
-    nth = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0)))
-    rows = docs.select(*docs.columns, *key).join(taken, ["_d", "_h"]).withColumn("_k", F.element_at("_c", nth)).where("_k > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_k")).alias("_x")).drop("_x")
+    d, h, c, k, x = fresh(docs, "_d", "_h", "_c", "_k", "_x")
+    key = [F.coalesce("doc_id", F.lit(-1)).alias(d), F.coalesce(F.xxhash64("text"), F.lit(0)).alias(h)]
+    taken = mix(docs).select(F.coalesce("doc_id", F.lit(-1)).alias(d), F.col("h").alias(h), "copies")
+    taken = taken.groupBy(d, h).agg(F.sort_array(F.collect_list("copies")).alias(c)).where(F.exists(c, lambda n: n > 0))
+    nth = F.row_number().over(Window.partitionBy(d, h).orderBy(F.lit(0)))
+    rows = docs.select(*columns(docs), *key).join(taken, [d, h]).withColumn(k, F.element_at(c, nth)).where(F.col(k) > 0)
+    return rows.select(*columns(docs), F.explode(F.sequence(F.lit(1), k)).alias(x)).drop(x)

@@ -12,7 +12,7 @@ of 200 years; addresses, 65536 x 65536). Check digits are computed anew; separat
 domains stay.
 
 Defined cases: a null text stays null with 0 found, an empty one empty; rows that repeat get the same answer; an
-empty table gives an empty result; extra columns stay.
+empty table gives an empty result; extra columns stay, but for a private_kinds, which pseudonymize replaces.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns, fresh
+
 ROUNDS = 8
 KEY = "quillspark-demo-key"
 
@@ -160,15 +162,21 @@ def pseudonym(key: str) -> str:
     return f"case {cases} else named_struct('kind', cast(null as string), 'value', m) end"
 
 
+def _replaced(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, list[Column], Column]:
+    """(docs with its candidates, its columns with the column text pseudonymised, the kinds replaced)."""
+    t, (m, p) = F.col(text), fresh(docs, "_m", "_p")
+    found = docs.withColumn(m, F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    found = found.withColumn(p, F.expr(f"transform({m}, m -> {pseudonym(key)})"))
+    pieces = F.zip_with(F.split(t, ANY, -1), F.col(p)["value"], lambda g, p: F.array(g, p))
+    new = F.when(F.col(p).isNotNull(), F.array_join(F.flatten(pieces), "")).otherwise(t)
+    kinds = F.coalesce(F.filter(F.col(p)["kind"], lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    return found, [new.alias(text) if c == text else x for c, x in zip(docs.columns, columns(docs))], kinds
+
+
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """docs with the column text pseudonymised, and private_kinds added: the kinds replaced, in their order."""
-    t = F.col(text)
-    found = docs.withColumn("_m", F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    found = found.withColumn("_p", F.expr(f"transform(_m, m -> {pseudonym(key)})"))
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("_p.value"), lambda g, p: F.array(g, p))
-    new: Column = F.when(F.col("_p").isNotNull(), F.array_join(F.flatten(pieces), "")).otherwise(t)
-    kinds = F.coalesce(F.filter("_p.kind", lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return found.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], kinds.alias("private_kinds"))
+    found, cols, kinds = _replaced(docs.drop("private_kinds"), text, key)
+    return found.select(*cols, kinds.alias("private_kinds"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -179,4 +187,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, their texts pseudonymised."""
-    return pseudonymize(docs).select(*docs.columns)
+    found, cols, _ = _replaced(docs, "text", KEY)
+    return found.select(*cols)
