@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare
 
 CAPACITY, GRAIN, END = 2048, 32, 1
-BUCKETS = 256
+#: Groups within which pieces of a length are ranked: at least so many, and more where they'd hold more pieces.
+BUCKETS, PER_BUCKET = 256, 100_000
 #: Runs of white space that are left to the tokenizers library.
 SPACES = re.compile(r"\s{1000}")
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -199,10 +200,14 @@ def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in out.items()}
 
 
-def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, start, length, ...)."""
-    parts = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)))
-    counts = parts.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n")).collect()  # at most lengths x BUCKETS rows
+def assign(parts: DataFrame, capacity: int = CAPACITY, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """Add sequence_id and offset to pieces (doc_id, start, length, ...).
+
+    The driver gets a count for each length and bucket: at most lengths x BUCKETS rows, and one for per_bucket pieces."""
+    sizes = {r.length: r["count"] for r in parts.groupBy("length").count().collect()}
+    many = [F.when(F.col("length") == n, F.lit(-(-c // per_bucket))) for n, c in sizes.items() if c > BUCKETS * per_bucket]
+    parts = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.coalesce(*many, F.lit(BUCKETS))))
+    counts = parts.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}
     for r in sorted(counts):

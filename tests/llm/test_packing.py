@@ -77,3 +77,15 @@ def test_empty_and_repeated(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = packing.pack(spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.length, r.offset) for r in got) == [(None, 1, 0), (None, 1, 1), (None, 1, 2)]
+
+
+def test_more_buckets_give_whole_sequences(spark):
+    rows = [(d, 0, 2048 if d % 3 else 64, d) for d in range(1500)]
+    parts = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long")
+    got = packing.assign(parts, per_bucket=1).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((d, n) for d, _, n, _ in rows)
+    ends: dict = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048 and len(ends) == 1000 + 16
