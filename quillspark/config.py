@@ -33,7 +33,13 @@ MODELS = (
     "residual_target_similarity",
     "raw_target_similarity",
 )
-SECTION_TYPES = {"lyrics": ("verse", "chorus", "bridge")}
+# Section types of domains that have names for them; all others have sections.
+SECTION_TYPES = {
+    "lyrics": ("verse", "chorus", "bridge"),
+    "essay": ("introduction", "body", "conclusion"),
+    "fiction": ("scene", "dialogue", "description"),
+    "screenplay": ("scene", "action", "dialogue"),
+}
 
 
 @dataclass(frozen=True)
@@ -56,4 +62,4 @@ class Config:
     extra: dict = field(default_factory=dict)
 
     def sections(self) -> tuple[str, ...]:
-        return self.section_types or SECTION_TYPES.get(self.domain, ())
+        return self.section_types or SECTION_TYPES.get(self.domain, ("section",))

@@ -62,6 +62,6 @@ def extra_scopes(works: DataFrame, blocks: DataFrame) -> DataFrame:
     joined = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("type") == kind, F.struct("index", "text")))), lambda x: x.text), "\n")
     parts = blocks.groupBy("work_id").agg(joined("chorus").alias("choruses"), joined("bridge").alias("bridges"))
     rows = works.select(F.col("id").alias("work_id"), "title").join(parts, "work_id", "left")
-    chorus = F.concat_ws("\n", "title", F.nullif(F.coalesce("choruses", F.lit("")), F.lit("")))
+    chorus = F.concat("title", F.lit("\n"), F.nullif("choruses", F.lit("")))  # null without choruses
     scopes = F.array(F.struct(F.lit("all_choruses").alias("scope"), chorus.alias("text")), F.struct(F.lit("bridge_only").alias("scope"), F.coalesce("bridges", F.lit("")).alias("text")), F.struct(F.lit("title_plus_chorus").alias("scope"), chorus.alias("text")))
     return rows.select("work_id", F.inline(scopes)).where("text <> ''")

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.vector import centroids
-from ..operators import embed, features, metrics, model, parse, residual, split, topics
+from ..operators import assessment, domains, embed, metrics, model, parse, residual, split, topics
 from . import reports
 
 
 def run(spark: SparkSession, files: DataFrame, config: Config, out: str | None = None) -> dict[str, DataFrame]:
     """files (path, value, set) to all tables of a run, by name. With ``out``, embeddings are written there and read
     again, so that what follows doesn't compute them anew, and so are the reports."""
-    works = parse.parse_works(files, config.domain)
-    parsed = parse.parse_blocks(works, domain=config.domain)
-    blocks, atoms = parse.blocks_and_atoms(parsed)
+    domain = domains.get(config.domain, ",".join(config.section_types))
+    works = domain.parse_works(files)
+    blocks, atoms = parse.blocks_and_atoms(domain.parse_blocks(works))
     splits = split.assign_splits(works.where("set in ('target', 'background')"), ["set"], config.seed)
     profiles = topics.topic_profiles(works, config.domain)
-    scopes = parse.extra_scopes(works, blocks) if config.domain == "lyrics" else None
+    scopes = domain.scopes(works, blocks) if domain.scopes else None
     vectors = embed.embed(embed.embedding_inputs(works, blocks, atoms, profiles, scopes), config.embedding_provider)
     if out:
         vectors.write.mode("overwrite").parquet(f"{out}/embeddings")
@@ -29,16 +29,19 @@ def run(spark: SparkSession, files: DataFrame, config: Config, out: str | None =
     labelled = splits.select("id", "title", "set", "split", F.coalesce("metadata.synthetic_control_type", F.lit("")).alias("control_type"))
     rows = labelled.join(of_work(vectors, "raw", "owner_id").unionByName(of_work(res, "residual", "work_id")), "id")
     scores = model.model_scores(model.centroid_similarities(rows)).persist()
-    compared = model.compare_models(scores).persist()  # eight rows
-    chosen = model.select_model(compared)
+    compared = assessment.small(model.compare_models(scores))
+    chosen = assessment.small(model.select_model(compared))
     tested = scores.where("split = 'test'").join(F.broadcast(chosen.select("model", "threshold", "similarity_threshold")), "model")
-    held_out = metrics.evaluate(tested, ["model"], model.predicted()).persist()
+    held_out = assessment.small(metrics.evaluate(tested, ["model"], model.predicted()))
+    gates = assessment.small(metrics.gate(tested, model.predicted()))
+    assessed = assessment.residual_assessment(compared, model.evaluate_models(scores.where("split = 'test'"), compared), chosen)
     by_section = centroids(res.join(splits.where("split = 'train'").select(F.col("id").alias("work_id"), "set"), "work_id"), ["set", "owner_type", "scope", "block_type"])
     tables = {
         "works": works, "blocks": blocks, "atoms": atoms, "splits": splits, "topics": profiles, "embeddings": vectors, "residuals": res, "centroids": by_section,
-        "atom_features": features.atom_features(atoms), "work_features": features.work_features(works.select(F.col("id").alias("work_id")), blocks, atoms),
+        "atom_features": domain.atom_features(atoms), "work_features": domain.work_features(works.select(F.col("id").alias("work_id")), blocks, atoms),
         "scores": scores, "models": compared, "selected": chosen, "held_out": held_out,
-        "gates": metrics.gate(tested, model.predicted()),
+        "gates": gates, "assessment": assessed, "acceptance": assessment.acceptance(held_out, gates, assessed),
+        "confident": assessment.confident(tested, model.predicted(), ["model"]), "limitations": assessment.limitations(tested),
         "leave_one_out": model.leave_one_out(of_work(res, "residual", "work_id").join(works.where("set = 'target'").select("id"), "id", "left_semi")),
     }
     if out:

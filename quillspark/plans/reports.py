@@ -18,9 +18,12 @@ def markdown(title: str, df: DataFrame, most: int = 50) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(x) for x in r) + " |" for r in rows]) + "\n"
 
 
+def write_one(spark: SparkSession, folder: str, name: str, title: str, df: DataFrame) -> None:
+    spark.createDataFrame([(markdown(title, df),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.md")
+    df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+
+
 def write(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> None:
     """Training, evaluation and gate reports, written by Spark: they land wherever the other tables do."""
-    for name, title in (("models", "Models compared on validation"), ("selected", "Selected model"), ("held_out", "Held-out evaluation"), ("gates", "Hard-negative gates")):
-        df = tables[name]
-        spark.createDataFrame([(markdown(title, df),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.md")
-        df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+    for name, title in (("models", "Models compared on validation"), ("selected", "Selected model"), ("held_out", "Held-out evaluation"), ("gates", "Hard-negative gates"), ("assessment", "Residual against raw models"), ("acceptance", "Acceptance"), ("confident", "Most confident works")):
+        write_one(spark, folder, name, title, tables[name])

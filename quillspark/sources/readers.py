@@ -71,6 +71,12 @@ def import_dataset(rows: DataFrame, order: str, text: str = "text", title: str =
     return kept.select("n", trimmed(title, F.concat(F.lit("Untitled "), F.col("n").cast("string"))).alias("title"), F.col("_a").alias("author"), F.col("_x").alias("text"))
 
 
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row (root, value): the text of a folder's manifest, null if it has none."""
+    found = _or_empty(spark, "value string", lambda: spark.read.text(f"{root}/manifest.json", wholetext=True).select("value"))
+    return found.agg(F.max("value").alias("value")).select(F.lit(root).alias("root"), "value")
+
+
 def manifest_status(manifests: DataFrame) -> DataFrame:
     """manifests (root, value: JSON text or null) to (root, present, valid, source_type, work_count, issues)."""
     # a text that isn't an object, or whose works isn't an array, gives nulls here
