@@ -5,6 +5,10 @@ numbers by their ranges, IPv4 addresses by octets, calendar dates of 1900 to 209
 e-mail addresses by form) and replaced by a keyed permutation within its format, so that equal values get equal
 pseudonyms in all documents, however they are spaced. Candidates that don't validate stay.
 
+Numbers that stand next to each other are one candidate (RUN: 13 digits or more, parts joined by single spaces or
+dashes), which ends before a security number, date, address or mailbox. In it cards that are unbroken or grouped as
+usual are validated at each part; what lies between them is a card of any grouping or holds phone numbers.
+
 Two Feistel networks, each of ROUNDS rounds with SHA-256 of key, kind, round and the other half: one over the
 characters of a string, whose halves shift each other's digits and letters within their class (digits of cards,
 IBANs, phone and security numbers, mailbox names); one over pairs of Z_a x Z_b (dates as day numbers, 17 x 4297 days
@@ -28,12 +32,22 @@ KEY = "quillspark-demo-key"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-ISO = r"(?<![\w./-])\d{4}-\d{2}-\d{2}(?!\w|[./-]\d)"
+ISO = r"(?<![\w./-])\d{4}-\d{2}-\d{2}(?!(?!T\d\d)\w|[./-]\d)"
 DMY = r"(?<![\w./-])\d{1,2}([./-])\d{1,2}\1\d{4}(?!\w|[./-]\d)"
+MDY = r"(?<![\w./-])\d{1,2}([/-])\d{1,2}\1\d{4}(?!\w|[./-]\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|-\d)"
-PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)"
-ANY = "|".join([EMAIL, IPV4, IBAN, ISO, DMY, CARD, SSN, PHONE])
+LOCAL = r"\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)"
+PHONE = rf"(?<![\w.])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])|\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-](?!{LOCAL}))\d{{3,4}}[ .-]\d{{3,4}}(?!\w)|(?<!\w)\+\d{{8,15}}(?!\w)"
+#: Where a run of numbers ends: what has a form of its own begins there.
+OTHER = "|".join([EMAIL, IPV4, ISO, r"\d{1,2}(?:/\d{1,2}/|-\d{1,2}-|\.\d{1,2}\.)\d{4}(?!\w|[./-]\d)", SSN, r"\d{2,4}\.\d{3,4}[ .-]\d{3,4}(?!\w)"])
+RUN_DIGITS = 200
+RUN = rf"(?<![\w.+-])\d(?:(?:[ -](?!{OTHER}))?\d){{12,{RUN_DIGITS - 1}}}(?!\w|-\d)"
+#: Cards as they are written, 16 digits before 19: what follows 16 valid ones is rather a check value.
+GROUPED = [r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", r"\d{4}[ -]\d{6}[ -]\d{4,5}", r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{3}", r"\d{13,19}"]
+#: Groups of four as on a card, none of them valid: not taken for phone numbers.
+FOURS = r"(?<![\w.])\d{4}(?:[ -]\d{4}){3,}(?!\w)"
+ANY = "|".join([EMAIL, IPV4, IBAN, ISO, DMY, SSN, RUN, PHONE])
 
 
 def _lit(s: str) -> str:
@@ -100,11 +114,11 @@ def _mod97(s: str) -> str:
     return f"aggregate({_chars(s)}, 0, (a, c) -> {step})"
 
 
-def _card(key: str) -> tuple[str, str]:
-    valid = _let(_digits("m"), "d", f"length(d) between 13 and 19 and ({_luhn('substr(d, 1, length(d) - 1)')} + cast(right(d, 1) as int)) % 10 = 0 and d <> repeat('0', length(d))")
+def _card(key: str, m: str = "m") -> tuple[str, str]:
+    valid = _let(_digits(m), "d", f"length(d) between 13 and 19 and ({_luhn('substr(d, 1, length(d) - 1)')} + cast(right(d, 1) as int)) % 10 = 0 and d <> repeat('0', length(d))")
     payload = feistel_text("substr(d, 1, length(d) - 1)", key, "card")
-    new = _let(_digits("m"), "d", _let(payload, "x", f"concat(x, cast((10 - {_luhn('x')} % 10) % 10 as string))"))
-    return valid, _refill("m", new)
+    new = _let(_digits(m), "d", _let(payload, "x", f"concat(x, cast((10 - {_luhn('x')} % 10) % 10 as string))"))
+    return valid, _refill(m, new)
 
 
 def _iban(key: str) -> tuple[str, str]:
@@ -140,10 +154,40 @@ def _phone(key: str) -> tuple[str, str]:
     return valid, new
 
 
+def _piece(kind: str | None, m: str) -> str:
+    return f"named_struct('kind', {'cast(null as string)' if kind is None else _lit(kind)}, 'm', {m})"
+
+
+def _phones(s: str) -> str:
+    """SQL: the string s as pieces, its phone numbers and what lies between them."""
+    between, found = f"split({s}, {_lit(FOURS + '|' + PHONE)}, -1)", f"regexp_extract_all({s}, {_lit(FOURS + '|' + PHONE)}, 0)"
+    kind = f"named_struct('kind', if(p rlike {_lit('^' + FOURS + '$')}, null, 'phone'), 'm', p)"
+    return f"flatten(zip_with({between}, {found}, (g, p) -> if(p is null, array({_piece(None, 'g')}), array({_piece(None, 'g')}, {kind}))))"
+
+
+def _numbers(key: str) -> str:
+    """SQL: the run of numbers m as pieces struct(kind, m), kind null for what stays."""
+    valid = lambda x: f"({x} <> '' and {_card(key, x)[0]})"
+    tries = ", ".join(f"regexp_extract(a.r, {_lit('^' + g + r'(?!\w|-\d)')}, 0)" for g in GROUPED)
+    # a: r the rest of the run, g what has stayed since the last card, o the pieces
+    part = "regexp_extract(a.r, '^[^ ]+ ?| ', 0)"
+    taken = f"named_struct('r', substr(a.r, length(c) + 1), 'g', '', 'o', concat(a.o, array({_piece(None, 'a.g')}, {_piece('card', 'c')})))"
+    passed = _let(part, "p", "named_struct('r', substr(a.r, length(p) + 1), 'g', concat(a.g, p), 'o', a.o)")
+    step = _let(f"get(filter(array({tries}), x -> {valid('x')}), 0)", "c", f"if(c is null, {passed}, {taken})")
+    start = f"named_struct('r', m, 'g', '', 'o', cast(array() as array<struct<kind:string,m:string>>))"
+    cut = f"aggregate(sequence(1, 2 * size(split(m, ' '))), {start}, (a, i) -> if(a.r = '', a, {step}), a -> concat(a.o, array({_piece(None, 'a.g')})))"
+    # between such cards: one of any grouping, unless a phone number of a fixed form is there
+    loose = f"if(s.m rlike {_lit(r'(?<![\w.])' + LOCAL)}, '', regexp_extract(s.m, {_lit(CARD)}, 0))"
+    at = "instr(s.m, c)"
+    around = f"concat({_phones(f'substr(s.m, 1, {at} - 1)')}, array({_piece('card', 'c')}), {_phones(f'substr(s.m, {at} + length(c))')})"
+    gap = _let(loose, "c", f"if({valid('c')}, {around}, {_phones('s.m')})")
+    return f"flatten(transform({cut}, s -> if(s.kind = 'card', array(s), {gap})))"
+
+
 def pseudonym(key: str) -> str:
-    """SQL: struct(kind, value) for a candidate m; kind null if it doesn't validate."""
+    """SQL: struct(kinds, value) for a candidate m; no kinds if nothing in it validates."""
     whole = lambda p: f"m rlike {_lit('^(?:' + p + ')$')}"
-    dmy = "if(m rlike '^[0-9]+/', '/', if(m rlike '^[0-9]+-', '-', '.'))"
+    sep = "if(m rlike '^[0-9]+/', '/', if(m rlike '^[0-9]+-', '-', '.'))"
     part = lambda i: f"element_at(split(m, '[./-]'), {i})"
     pad = lambda i, f: f"if(length({part(i)}) = 2, date_format(t, '{f}{f}'), date_format(t, '{f}'))"
     mail = ("true", f"concat({feistel_text("substring_index(m, '@', 1)", key, 'mail')}, '@', substring_index(m, '@', -1))")
@@ -153,13 +197,15 @@ def pseudonym(key: str) -> str:
         ("ip", IPV4, _address(key)),
         ("iban", IBAN, _iban(key)),
         ("date", ISO, _date(key, part(1), part(2), part(3), "cast(t as string)")),
-        ("date", DMY, _date(key, part(3), part(2), part(1), f"concat({pad(1, 'd')}, {dmy}, {pad(2, 'M')}, {dmy}, date_format(t, 'yyyy'))")),
-        ("card", CARD, _card(key)),
+        ("date", DMY, _date(key, part(3), part(2), part(1), f"concat({pad(1, 'd')}, {sep}, {pad(2, 'M')}, {sep}, date_format(t, 'yyyy'))")),
+        ("date", MDY, _date(key, part(3), part(1), part(2), f"concat({pad(1, 'M')}, {sep}, {pad(2, 'd')}, {sep}, date_format(t, 'yyyy'))")),
         ("ssn", SSN, ssn),
         ("phone", PHONE, _phone(key)),
     ]
-    cases = " ".join(f"when {whole(p)} and {valid} then named_struct('kind', '{kind}', 'value', {new})" for kind, p, (valid, new) in kinds)
-    return f"case {cases} else named_struct('kind', cast(null as string), 'value', m) end"
+    cases = " ".join(f"when {whole(p)} and {valid} then named_struct('kinds', array('{kind}'), 'value', {new})" for kind, p, (valid, new) in kinds)
+    number = f"case s.kind when 'card' then {_let('s.m', 'm', _card(key)[1])} when 'phone' then if({_let('s.m', 'm', _phone(key)[0])}, {_let('s.m', 'm', _phone(key)[1])}, s.m) else s.m end"
+    run = _let(_numbers(key), "l", f"named_struct('kinds', transform(filter(l, s -> s.kind is not null), s -> s.kind), 'value', array_join(transform(l, s -> {number}), ''))")
+    return f"case when {whole(RUN)} then {run} {cases} else named_struct('kinds', cast(array() as array<string>), 'value', m) end"
 
 
 def _replaced(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, list[Column], Column]:
@@ -169,7 +215,7 @@ def _replaced(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, list[Col
     found = found.withColumn(p, F.expr(f"transform({m}, m -> {pseudonym(key)})"))
     pieces = F.zip_with(F.split(t, ANY, -1), F.col(p)["value"], lambda g, p: F.array(g, p))
     new = F.when(F.col(p).isNotNull(), F.array_join(F.flatten(pieces), "")).otherwise(t)
-    kinds = F.coalesce(F.filter(F.col(p)["kind"], lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.flatten(F.col(p)["kinds"]), F.array().cast("array<string>"))
     return found, [new.alias(text) if c == text else x for c, x in zip(docs.columns, columns(docs))], kinds
 
 

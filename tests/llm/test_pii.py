@@ -52,3 +52,25 @@ def test_permutations_are_one_to_one(spark):
 def test_another_key_and_empty(spark):
     a, b = (run(spark, [(1, "4111111111111111", "")], key=k)[1].text for k in ("one", "two"))
     assert a != b and run(spark, []) == {}
+
+
+def test_numbers_next_to_each_other(spark):
+    card, ssn, phone = "4111 1111 1111 1111", "123-45-6789", "555-123-4567"
+    single = {1: card, 2: "4111111111111111", 3: ssn, 4: "078-05-1120", 5: phone, 6: "2024-03-05", 7: "12/25/2023", 8: "3782 822463 10005", 9: "1.2.3.4", 10: "020 7946 0958", 11: "411 1111 1111 11111"}
+    new = {i: r.text for i, r in run(spark, [(i, x, "") for i, x in single.items()]).items()}
+    assert all(new[i] != x and re.sub(r"\d", "0", new[i]) == re.sub(r"\d", "0", x) for i, x in single.items() if i != 9)
+    assert luhn(re.sub(" ", "", new[1])) and new[1].replace(" ", "") == new[2] == new[11].replace(" ", "")
+    month, day, year = map(int, new[7].split("/"))
+    assert date(year, month, day) == date.fromisoformat(run(spark, [(1, "2023-12-25", "")])[1].text)
+    # templates: {i} stands for single[i], the rest stays
+    cases = [
+        "{3} {4}", "{3} 2024", "2024 {3}", "{5} 99887", "99887 {5}", "24 {5}", "{2} 123", "{1} 12/27", "{1} 123", "2024 {1}", "{1} 2024", "{1} {8} {2} {1}", "{1} {5}", "{5} {1} {3}",
+        "{3} 2024 555 1 {1}", "{1} {9}", "99 {6} {5}", "{1} {6}", "{1} {7}", "{6}T10:20:30Z {5}", "at {7}, {6}", "{10} 99886", "{2} {2} 7 {5} {3}", "1 {1} 7", "000-45-6789 {1}", "{11} 2024 2025",
+        "4111 1111 1111 1112 99", "13/25/2023", "2024-13-05T10:20", "1 2 3 4 5 6 7 8 9 10 11 12",
+    ]
+    fill = lambda x, by: re.sub(r"\{(\d+)\}", lambda m: by[int(m[1])], x)
+    got = run(spark, [(i, fill(x, single), "") for i, x in enumerate(cases)])
+    assert [got[i].text for i in range(len(cases))] == [fill(x, new) for x in cases]
+    assert got[0].private_kinds == ["ssn", "ssn"] and got[11].private_kinds == ["card"] * 4
+    long = run(spark, [(1, "7 " * 20_000 + card, ""), (2, "1" * 100_000, ""), (3, "12345 " * 5_000, "")])
+    assert long[1].text.endswith(new[1]) and long[2].text == "1" * 100_000
