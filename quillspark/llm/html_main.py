@@ -5,10 +5,11 @@ go: scripts, styles, forms, navigation, page headers, footers, sidebars, and ele
 them as adverts, notices, menus, comments and the like. If the page marks its article (an article element; else main;
 else a content container by class or id), lines elsewhere go too.
 
-Differencing: pages are ordered by host and URL path; of its two neighbours on the same host, a page is paired with
-the one that shares more of the path. The longest common subsequence of the lines of both is what the site repeats:
-these lines are deleted, unless an article or main element holds them (a copied article isn't boilerplate), or
-nothing were left (a copy of the page shows no template).
+Differencing: pages are ordered by host and URL path; of its neighbours on the same host, NEAR on each side, a page is
+paired with the one that shares most of the path and isn't a near copy. The longest common subsequence of the lines of
+both is what the site repeats: these lines are deleted, unless an article or main element holds them. A near copy, with
+which a page has most lines and characters of either in common, shows no template; beside such ones only, all lines
+stay.
 
 Defined cases: a null or empty html has an empty text; a null url is one of host '' and path ''; rows that repeat
 get an answer each; an empty table gives an empty result; extra columns are ignored; null page_ids stay null.
@@ -17,6 +18,7 @@ get an answer each; an empty table gives an empty result; extra columns are igno
 from __future__ import annotations
 
 import bisect
+from collections import deque
 import html as entities
 import math
 import re
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, range_cuts
+from .common import prepare
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 ATTR = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -40,6 +42,8 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion promoted banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments reply replies respond disqus discussion share sharing social related recommended pagination pager login search skip widget".split()
 )
 CONTENT = frozenset("article content post entry story".split())
+#: So many pages on each side are tried for one that isn't a near copy.
+NEAR = 8
 SAME = frozenset("li td th tr dd dt option".split())
 
 
@@ -181,59 +185,114 @@ def _keys(batches):
         yield pd.DataFrame({"host": [h for h, _ in where], "path": [p for _, p in where], "k": pdf.k})
 
 
-def _deal(firsts, lasts):
-    """Pages' lines to the range of their key; the first and the last page of a range also to its neighbours."""
+def _ends(batches):
+    """The first and the last NEAR keys of a range, in order."""
+    head, tail = [], deque(maxlen=NEAR)
+    for pdf in batches:
+        for key in zip(pdf.pid, pdf.host, pdf.path, pdf.k):
+            if len(head) < NEAR:
+                head.append(key)
+            else:
+                tail.append(key)
+    yield pd.DataFrame([(*key, i) for i, key in enumerate([*head, *tail])], columns=["pid", "host", "path", "k", "i"])
+
+
+def ranges(keys: DataFrame, rows_per_bucket: int = 50_000) -> list[tuple]:
+    """(first key, the key NEAR places before or the first of all, last key, the key NEAR places behind) of each of
+    some ranges that split keys by order. What reaches the driver is bounded by the number of ranges."""
+    n = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // rows_per_bucket))
+    dealt = keys.repartitionByRange(n, *KEY).withColumn("pid", F.spark_partition_id()).sortWithinPartitions(*KEY)
+    parts: dict[int, list] = {}
+    for r in sorted(dealt.mapInPandas(_ends, "pid int, host string, path string, k long, i int").collect(), key=lambda r: (r.pid, r.i)):
+        parts.setdefault(r.pid, []).append((r.host, r.path, r.k))
+    ends = sorted(parts.values())
+    flat = [key for x in ends for key in x]
+    out, at = [], 0
+    for x in ends:
+        out.append((x[0], flat[max(0, at - NEAR)], x[-1], flat[min(len(flat), at + len(x) + NEAR) - 1]))
+        at += len(x)
+    return out
+
+
+def _deal(cuts):
+    """Pages' lines to the range of their key; pages near the ends of other ranges also there, as guests."""
+    firsts = [x[0] for x in cuts]
 
     def run(batches):
         for pdf in batches:
             out = []
             for page, null, url, src, k in zip(pdf.page_id, pdf.null_id, pdf.url, pdf.html, pdf.k):
                 key = (*place(url), k)
-                b = bisect.bisect_right(firsts, key) - 1
+                own = bisect.bisect_right(firsts, key) - 1
                 text, sure = lines(src)
-                out.append((page, null, url, *key, text, sure, b, 0))
-                if key == firsts[b] and b:
-                    out.append((page, null, url, *key, text, sure, b - 1, 1))
-                if key == lasts[b] and b + 1 < len(firsts):
-                    out.append((page, null, url, *key, text, sure, b + 1, -1))
+                out.append((page, null, url, *key, text, sure, own, False))
+                b = own + 1
+                while b < len(cuts) and key >= cuts[b][1]:
+                    out.append((page, null, url, *key, text, sure, b, True))
+                    b += 1
+                b = own - 1
+                while b >= 0 and key <= cuts[b][3]:
+                    out.append((page, null, url, *key, text, sure, b, True))
+                    b -= 1
             yield pd.DataFrame(out, columns=DEALT)
 
     return run
 
 
-DEALT = ["page_id", "null_id", "url", "host", "path", "k", "lines", "sure", "bucket", "guest"]
+KEY = ["host", "path", "k"]
+DEALT = ["page_id", "null_id", "url", *KEY, "lines", "sure", "bucket", "guest"]
+
 
+def near_copy(a: list[str], b: list[str], shared: set[int]) -> bool:
+    """Whether the lines of a with numbers shared, which b has too, are most lines and characters of either."""
+    chars = sum(len(a[i]) for i in shared)
+    return any(2 * len(shared) > len(x) and 2 * chars > sum(map(len, x)) for x in (a, b))
 
-def _difference(row, before, after) -> str:
+
+def _difference(row, near) -> str:
+    """The text of row; near: pages around it, nearest first."""
     mine = list(row.lines)
     if row.sure or not mine:
         return " ".join(mine)
-    near = [x for x in (before, after) if x is not None and x.bucket == row.bucket and x.host == row.host]
-    if near:
-        pair = max(near, key=lambda x: _shared(row.path, x.path))
-        gone = common_lines(mine, list(pair.lines))
-        if len(gone) < len(mine):
-            mine = [t for i, t in enumerate(mine) if i not in gone]
+    near = [x for x in near if x.bucket == row.bucket and x.host == row.host]
+    for pair in sorted(near, key=lambda x: _shared(row.path, x.path), reverse=True):
+        theirs = list(pair.lines)
+        if not theirs or theirs == mine:
+            continue
+        gone = common_lines(mine, theirs)
+        if not near_copy(mine, theirs, gone):
+            return " ".join(t for i, t in enumerate(mine) if i not in gone)
     return " ".join(mine)
 
 
 def _texts(batches):
-    before = row = None
+    rows, at = [], 0  # the rows around rows[at], the next to answer
 
-    def answer(after):
-        text = _difference(row, before, after)
+    def answer():
+        row = rows[at]
+        near = [rows[i] for d in range(1, NEAR + 1) for i in (at - d, at + d) if 0 <= i < len(rows)]
+        text = _difference(row, near)
         return (None if row.null_id else row.page_id, row.url, text, len(text))
 
     cols = ["page_id", "url", "text", "n_chars"]
     for pdf in batches:
         out = []
         for new in pdf.itertuples(index=False):
-            if row is not None and row.guest == 0:
-                out.append(answer(new))
-            before, row = row, new
+            rows.append(new)
+            if len(rows) - at > NEAR:
+                if not rows[at].guest:
+                    out.append(answer())
+                at += 1
+                if at > NEAR:
+                    del rows[0]
+                    at -= 1
         yield pd.DataFrame(out, columns=cols).astype({"page_id": "Int64"})
-    if row is not None and row.guest == 0:
-        yield pd.DataFrame([answer(None)], columns=cols).astype({"page_id": "Int64"})
+    out = []
+    while at < len(rows):
+        if not rows[at].guest:
+            out.append(answer())
+        at += 1
+    yield pd.DataFrame(out, columns=cols).astype({"page_id": "Int64"})
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -245,12 +304,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     Only keys are ordered to find the ranges; then a page's lines are shuffled once, to its range."""
     prepare(pages.sparkSession)
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("page_id"), F.col("page_id").isNull().alias("null_id"), "url", "html", F.xxhash64("page_id", "html").alias("k"))
-    keys = rows.select("url", "k").mapInPandas(_keys, "host string, path string, k long")
-    firsts, lasts = range_cuts(keys, ["host", "path", "k"])
-    if not firsts:
+    cuts = ranges(rows.select("url", "k").mapInPandas(_keys, "host string, path string, k long"))
+    if not cuts:
         return pages.sparkSession.createDataFrame([], SCHEMA)
-    dealt = rows.mapInPandas(_deal(firsts, lasts), "page_id long, null_id boolean, url string, host string, path string, k long, lines array<string>, sure boolean, bucket long, guest int")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "host", "path", "k")
+    dealt = rows.mapInPandas(_deal(cuts), "page_id long, null_id boolean, url string, host string, path string, k long, lines array<string>, sure boolean, bucket long, guest boolean")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", *KEY)
     return dealt.mapInPandas(_texts, SCHEMA)
 
 

@@ -45,3 +45,21 @@ def test_differencing(spark):
         assert got[i].text == f"Story {host} {n} More {n}." and got[i].url == url and got[i].n_chars == len(got[i].text)
     assert [got[i].text for i in range(900, 905)] == ["", "Alone", "Copy", "Copy", ""]
     assert h.main_text(df.limit(0)).collect() == []
+
+
+def body(*texts):
+    return "<body>" + "".join(f"<div>{t}</div>" for t in texts) + "</body>"
+
+
+def test_near_copies_stay(spark):
+    story = [f"Sentence {i} of a story that was put up more than once." for i in range(6)]
+    top, end = "Top of the site", "End of the site"
+    rows = [(i, f"http://a.example/copy/{i}", body(top, *story, f"Printed on day {i}", end)) for i in range(4)]
+    rows += [(10 + i, f"http://a.example/other/{i}", body(top, *(f"Page {i}, line {j}, has words of its own." for j in range(5)), end)) for i in range(30)]
+    rows += [(90 + i, f"http://pair.example/{i}", body(*story, f"Printed on day {i}")) for i in range(2)]
+    rows += [(100 + i, f"http://many.example/{i:02}", body(*story, f"Printed on day {i}")) for i in range(30)]
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for first, n in ((0, 4), (90, 2), (100, 30)):
+        assert [got[first + i] for i in range(n)] == [" ".join([*story, f"Printed on day {i}"]) for i in range(n)]
+    assert all(got[10 + i] == " ".join(f"Page {i}, line {j}, has words of its own." for j in range(5)) for i in range(30))
