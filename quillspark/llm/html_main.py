@@ -7,9 +7,8 @@ else a content container by class or id), lines elsewhere go too.
 
 Differencing: pages are ordered by host and URL path; of its neighbours on the same host, NEAR on each side, a page is
 paired with the one that shares most of the path and isn't a near copy. The longest common subsequence of the lines of
-both is what the site repeats: these lines are deleted, unless an article or main element holds them. A near copy, with
-which a page has most lines and characters of either in common, shows no template; beside such ones only, all lines
-stay.
+both is what the site repeats: these lines are deleted, inside articles too. A near copy, with which a page has most
+lines and characters of either in common, shows no template; beside such ones only, all lines stay.
 
 Defined cases: a null or empty html has an empty text; a null url is one of host '' and path ''; rows that repeat
 get an answer each; an empty table gives an empty result; extra columns are ignored; null page_ids stay null.
@@ -224,15 +223,15 @@ def _deal(cuts):
             for page, null, url, src, k in zip(pdf.page_id, pdf.null_id, pdf.url, pdf.html, pdf.k):
                 key = (*place(url), k)
                 own = bisect.bisect_right(firsts, key) - 1
-                text, sure = lines(src)
-                out.append((page, null, url, *key, text, sure, own, False))
+                text, _ = lines(src)
+                out.append((page, null, url, *key, text, own, False))
                 b = own + 1
                 while b < len(cuts) and key >= cuts[b][1]:
-                    out.append((page, null, url, *key, text, sure, b, True))
+                    out.append((page, null, url, *key, text, b, True))
                     b += 1
                 b = own - 1
                 while b >= 0 and key <= cuts[b][3]:
-                    out.append((page, null, url, *key, text, sure, b, True))
+                    out.append((page, null, url, *key, text, b, True))
                     b -= 1
             yield pd.DataFrame(out, columns=DEALT)
 
@@ -240,7 +239,7 @@ def _deal(cuts):
 
 
 KEY = ["host", "path", "k"]
-DEALT = ["page_id", "null_id", "url", *KEY, "lines", "sure", "bucket", "guest"]
+DEALT = ["page_id", "null_id", "url", *KEY, "lines", "bucket", "guest"]
 
 
 def near_copy(a: list[str], b: list[str], shared: set[int]) -> bool:
@@ -252,8 +251,6 @@ def near_copy(a: list[str], b: list[str], shared: set[int]) -> bool:
 def _difference(row, near) -> str:
     """The text of row; near: pages around it, nearest first."""
     mine = list(row.lines)
-    if row.sure or not mine:
-        return " ".join(mine)
     near = [x for x in near if x.bucket == row.bucket and x.host == row.host]
     for pair in sorted(near, key=lambda x: _shared(row.path, x.path), reverse=True):
         theirs = list(pair.lines)
@@ -307,7 +304,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     cuts = ranges(rows.select("url", "k").mapInPandas(_keys, "host string, path string, k long"))
     if not cuts:
         return pages.sparkSession.createDataFrame([], SCHEMA)
-    dealt = rows.mapInPandas(_deal(cuts), "page_id long, null_id boolean, url string, host string, path string, k long, lines array<string>, sure boolean, bucket long, guest boolean")
+    dealt = rows.mapInPandas(_deal(cuts), "page_id long, null_id boolean, url string, host string, path string, k long, lines array<string>, bucket long, guest boolean")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", *KEY)
     return dealt.mapInPandas(_texts, SCHEMA)
 

@@ -63,3 +63,13 @@ def test_near_copies_stay(spark):
     for first, n in ((0, 4), (90, 2), (100, 30)):
         assert [got[first + i] for i in range(n)] == [" ".join([*story, f"Printed on day {i}"]) for i in range(n)]
     assert all(got[10 + i] == " ".join(f"Page {i}, line {j}, has words of its own." for j in range(5)) for i in range(30))
+
+
+def test_differencing_inside_articles(spark):
+    page = lambda lines: "<body><nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article></body>"
+    own = lambda i: [f"Paragraph {j} of story {i}, which no other page has." for j in range(4)]
+    rows = [(i, f"http://a.example/{i:02}", page(["By the staff of this site", *own(i), "Texts are free to share."])) for i in range(20)]
+    rows += [(50 + i, f"http://copy.example/{i}", page(own(99))) for i in range(3)]
+    got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(20)] == [" ".join(own(i)) for i in range(20)]
+    assert [got[50 + i] for i in range(3)] == [" ".join(own(99))] * 3
