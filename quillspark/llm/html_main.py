@@ -2,8 +2,10 @@
 
 A page's text is cut into lines at block elements. Regions that HTML itself marks as something else than the article
 go: scripts, styles, forms, navigation, page headers, footers, sidebars, and elements whose class, id or role names
-them as adverts, notices, menus, comments and the like. If the page marks its article (an article element; else main;
-else a content container by class or id), lines elsewhere go too.
+them as adverts, notices, menus, comments and the like; an article or main element in one that its class or id names
+counts all the same (in adverts, comments and related items: if the page has nothing else). If the page marks its
+article (an article element; else main; else a content container by class or id) and at least half of the characters
+are in it, lines elsewhere go too, but for headings in a main element.
 
 Differencing: pages are ordered by host and URL path; of its neighbours on the same host, NEAR on each side, a page is
 paired with the one that shares most of the path and isn't a near copy. The longest common subsequence of the lines of
@@ -40,41 +42,51 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion promoted banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments reply replies respond disqus discussion share sharing social related recommended pagination pager login search skip widget".split()
 )
-CONTENT = frozenset("article content post entry story".split())
+#: Such elements hold articles of others.
+FOREIGN = frozenset("comment comments reply replies ad ads sponsored promo promoted related".split())
+#: Classes and ids, in full, of content containers.
+CONTENT = frozenset("article content post entry story main-content article-content article-body post-content post-body entry-content story-body".split())
+#: A class that tells what an element has or hasn't beside it, not what it is.
+BESIDE = re.compile(r"(?:has|with|no|without)(?=[-_A-Z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an element is: NAMED and OTHERS are skipped by class or id, OUT for good.
+PLAIN, NAMED, OTHERS, OUT = range(4)
 #: So many pages on each side are tried for one that isn't a near copy.
 NEAR = 8
 SAME = frozenset("li td th tr dd dt option".split())
 
 
-def _kind(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
-    """(whether the element isn't part of the article, how surely it holds it: 3 article, 2 main, 1 by name)."""
+def _kind(tag: str, attrs: str, inside: bool) -> tuple[int, int]:
+    """(PLAIN or why the element isn't part of the article, how surely it holds it: 3 article, 2 main, 1 by name)."""
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if "=" in attrs else {}
-    words = {w.lower() for k in ("class", "id") for w in NAME.findall(a.get(k, ""))}
+    tokens = [t for k in ("class", "id") for t in a.get(k, "").split()]
+    words = {w.lower() for t in tokens if not BESIDE.match(t) for w in NAME.findall(t)}
     role = a.get("role", "").lower()
-    level = 3 if tag == "article" or a.get("itemprop") == "articleBody" else 2 if tag == "main" or role == "main" else 1 if words & CONTENT and tag in ("div", "section", "td") else 0
+    level = 3 if tag == "article" or a.get("itemprop") == "articleBody" else 2 if tag == "main" or role == "main" else 1 if tag in ("div", "section", "td") and any(t.lower() in CONTENT for t in tokens) else 0
     if tag in ("body", "html"):
-        return False, 0
+        return PLAIN, 0
     if tag in SKIP or role in ROLES or tag == "header" and not inside or re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attrs):
-        return True, 0
+        return OUT, 0
     bad = words & NAMES or "header" in words and not inside
-    if bad and (level < 2 or words & {"comment", "comments", "reply", "replies", "ad", "ads", "sponsored", "promo", "promoted", "related"}):
-        return True, 0
-    return False, level
+    if bad and (level < 2 or words & FOREIGN):
+        return OTHERS if words & FOREIGN else NAMED, 0
+    return PLAIN, level
 
 
 def lines(page: str | None) -> tuple[list[str], bool]:
     """(the lines that may be the article's, whether an article or main element holds them)."""
     page = page or ""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, bool, str]] = []  # level, -1 in an article of others; whether it is a heading; line
     buffer: list[str] = []
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, int, int]] = []
     at, end = 0, len(page)
 
     def flush():
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                out.append((stack[-1][2] if stack else 0, text))
+                heading = any(x[0] in HEADINGS for x in stack[-4:])
+                out.append((stack[-1][2] if stack else 0, heading, text))
             buffer.clear()
 
     while at < end:
@@ -112,15 +124,24 @@ def lines(page: str | None) -> tuple[list[str], bool]:
                 stack.pop()
             if tag in SAME and stack and stack[-1][0] == tag and not stack[-1][1]:
                 stack.pop()
-        _, skip, level = stack[-1] if stack else ("", False, 0)
-        bad, own = (False, 0) if skip else _kind(tag, m[3], level >= 2)
+        _, skip, level = stack[-1] if stack else ("", PLAIN, 0)
+        bad, own = (PLAIN, 0) if skip == OUT else _kind(tag, m[3], level >= 2)
         if (bad or own > level) and buffer:
             flush()
-        stack.append((tag, skip or bad, max(level, own)))
+        if skip in (NAMED, OTHERS) and own >= 2:
+            stack.append((tag, PLAIN, own if skip == NAMED and level >= 0 else -1))
+        elif level < 0:
+            stack.append((tag, max(skip, bad), level))
+        else:
+            stack.append((tag, max(skip, bad), max(level, own)))
     if not (stack and stack[-1][1]):
         flush()
-    best = max((k for k, _ in out), default=0)
-    return [t for k, t in out if k == best], best >= 2
+    if any(k >= 0 for k, _, _ in out):
+        out = [x for x in out if x[0] >= 0]
+    # the surest mark that holds at least half of the characters
+    size = lambda best: sum(len(t) for k, _, t in out if k >= best)
+    best = next((k for k in (3, 2, 1, 0) if 2 * size(k) >= size(-1) and any(x[0] >= k for x in out)), -1)
+    return [t for k, heading, t in out if k >= best or heading and k == 2], best >= 2
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:

@@ -73,3 +73,20 @@ def test_differencing_inside_articles(spark):
     got = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert [got[i] for i in range(20)] == [" ".join(own(i)) for i in range(20)]
     assert [got[50 + i] for i in range(3)] == [" ".join(own(99))] * 3
+
+
+def test_marks_drop_no_article():
+    body = "".join(f"<p>Paragraph {i} of the story.</p>" for i in range(3))
+    text = [f"Paragraph {i} of the story." for i in range(3)]
+    assert h.lines(f"<main><h1>The <b>title</b></h1><article>{body}</article></main>") == (["The title", *text], True)
+    assert h.lines(f"<main>{body}<article>A teaser</article></main>") == ([*text, "A teaser"], True)
+    assert h.lines(f"<div class='content'>{body}</div><article>A teaser</article><p>Else</p>")[0] == [*text, "A teaser"]
+    assert h.lines(f"{body}<article>A teaser</article>")[0] == [*text, "A teaser"]
+    assert h.lines(f"<div class='post-meta'>By somebody</div>{body}")[0] == ["By somebody", *text]
+    assert h.lines(f"<p>Else</p><div class='entry-content wide'>{body}</div>")[0] == text
+    for name in ("has-sidebar", "hasSidebar", "no-ads", "widget", "page-header"):
+        assert h.lines(f"<p>Else</p><div class='{name}'><p>Side</p><article>{body}</article></div>")[0] == text, name
+        assert h.lines(f"<p>Else</p><div id='{name}'><main>{body}</main></div>")[0] == text, name
+    assert h.lines(f"<div class='ads'>Buy<article>{body}</article></div>")[0] == text
+    assert h.lines(f"<article>{body}</article><div class='comments'><article>Nice!</article></div>") == (text, True)
+    assert h.lines(f"<article>{body}</article><nav><article>Menu</article></nav><div class='sidebar'>Side</div>") == (text, True)
