@@ -80,3 +80,9 @@ def test_whole_run(spark, tmp_path):
     out = pipeline.run(spark, files, Config(), str(tmp_path))
     assert out["works"].count() == 24 and out["models"].count() == 8 and out["selected"].count() == 1 and out["held_out"].count() == 1
     assert out["residuals"].count() == 24 * 4 + 24 * 2 - 24 and (tmp_path / "reports" / "models.md").exists()
+
+
+def test_import_limit(spark):
+    rows = spark.range(700).selectExpr("id", "concat('t', id) AS title", "'Ann' AS author", "'x' AS text")
+    assert [r.n for r in readers.import_dataset(rows, "id").collect()] == list(range(1, 701))
+    assert [r.title for r in readers.import_dataset(rows, "id", limit=3).collect()] == ["t0", "t1", "t2"]
