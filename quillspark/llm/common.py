@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -155,14 +156,36 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))
 
 
-def range_cuts(keys: DataFrame, cols: list[str], rows_per_bucket: int = 50_000) -> tuple[list[tuple], list[tuple]]:
-    """The first and the last key of each of some ranges that split keys by order; one pair for each range.
+def pieces(text: str, border: re.Pattern, size: int = 1 << 20):
+    """A text in pieces of some size characters, cut at places where border matches: a long one is never taken
+    apart at once."""
+    at = 0
+    while len(text) - at > size:
+        m = border.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
-    What reaches the driver is bounded by the number of ranges, not by rows. No key lies in two ranges.
-    """
-    spark = keys.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // rows_per_bucket))
-    dealt = keys.repartitionByRange(n, *cols).select(F.spark_partition_id().alias("pid"), F.struct(*cols).alias("k"))
-    ends = dealt.groupBy("pid").agg(F.min("k").alias("a"), F.max("k").alias("z")).collect()
-    ends = sorted((tuple(r.a), tuple(r.z)) for r in ends)
-    return [a for a, _ in ends], [z for _, z in ends]
+
+#: Ranges of one order: so many keys at most reach the driver and the tasks, whatever the number of rows.
+MAX_RANGES = 20_000
+
+
+def range_number(keys: DataFrame, rows_per_range: int) -> int:
+    """Into how many ranges keys are split: by their number, MAX_RANGES at most (ranges of more rows beyond)."""
+    return max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-keys.count() // rows_per_range)))
+
+
+def range_cuts(keys: DataFrame, cols: list[str], rows_per_range: int = 50_000) -> list[tuple]:
+    """The first key of each of some ranges that split keys by order. No key lies in two ranges.
+
+    What reaches the driver is one key a range, MAX_RANGES at most."""
+    dealt = keys.repartitionByRange(range_number(keys, rows_per_range), *cols).select(F.spark_partition_id().alias("pid"), F.struct(*cols).alias("k"))
+    return sorted(tuple(r.a) for r in dealt.groupBy("pid").agg(F.min("k").alias("a")).collect())
+
+
+def to_ranges(dealt: DataFrame, bucket: str, number: int, *order: str) -> DataFrame:
+    """Rows to one partition for each range (bucket: its number), sorted; partitions aren't coalesced."""
+    return dealt.repartitionById(number, F.col(bucket).cast("int")).sortWithinPartitions(bucket, *order)

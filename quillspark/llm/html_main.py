@@ -13,7 +13,9 @@ both is what the site repeats: these lines are deleted, inside articles too. A n
 lines and characters of either in common, shows no template; beside such ones only, all lines stay.
 
 Defined cases: a null or empty html has an empty text; a null url is one of host '' and path ''; rows that repeat
-get an answer each; an empty table gives an empty result; extra columns are ignored; null page_ids stay null.
+get an answer each; an empty table gives an empty result; extra columns are ignored; null page_ids stay null; a very long
+page is cut whole, its lines are held by one task beside those of its neighbours; of equally near pages the one tried
+first is the nearer in order, of two as near the one before.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, range_number, to_ranges
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 ATTR = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -46,6 +48,8 @@ NAMES = frozenset(
 FOREIGN = frozenset("comment comments reply replies ad ads sponsored promo promoted related".split())
 #: Classes and ids, in full, of content containers.
 CONTENT = frozenset("article content post entry story main-content article-content article-body post-content post-body entry-content story-body".split())
+#: A table in an article is content, whatever its class names it, unless that is others' content.
+TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 #: A class that tells what an element has or hasn't beside it, not what it is.
 BESIDE = re.compile(r"(?:has|with|no|without)(?=[-_A-Z])")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -67,7 +71,7 @@ def _kind(tag: str, attrs: str, inside: bool) -> tuple[int, int]:
         return PLAIN, 0
     if tag in SKIP or role in ROLES or tag == "header" and not inside or re.search(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attrs):
         return OUT, 0
-    bad = words & NAMES or "header" in words and not inside
+    bad = words & (FOREIGN if inside and tag in TABLE else NAMES) or "header" in words and not inside
     if bad and (level < 2 or words & FOREIGN):
         return OTHERS if words & FOREIGN else NAMED, 0
     return PLAIN, level
@@ -219,9 +223,9 @@ def _ends(batches):
 
 def ranges(keys: DataFrame, rows_per_bucket: int = 50_000) -> list[tuple]:
     """(first key, the key NEAR places before or the first of all, last key, the key NEAR places behind) of each of
-    some ranges that split keys by order. What reaches the driver is bounded by the number of ranges."""
-    n = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // rows_per_bucket))
-    dealt = keys.repartitionByRange(n, *KEY).withColumn("pid", F.spark_partition_id()).sortWithinPartitions(*KEY)
+    some ranges that split keys by order. What reaches the driver is 2 * NEAR keys a range, of which there are
+    common.MAX_RANGES at most."""
+    dealt = keys.repartitionByRange(range_number(keys, rows_per_bucket), *KEY).withColumn("pid", F.spark_partition_id()).sortWithinPartitions(*KEY)
     parts: dict[int, list] = {}
     for r in sorted(dealt.mapInPandas(_ends, "pid int, host string, path string, k long, i int").collect(), key=lambda r: (r.pid, r.i)):
         parts.setdefault(r.pid, []).append((r.host, r.path, r.k))
@@ -234,11 +238,12 @@ def ranges(keys: DataFrame, rows_per_bucket: int = 50_000) -> list[tuple]:
     return out
 
 
-def _deal(cuts):
+def _deal(sent):
     """Pages' lines to the range of their key; pages near the ends of other ranges also there, as guests."""
-    firsts = [x[0] for x in cuts]
 
     def run(batches):
+        cuts = sent.value
+        firsts = [x[0] for x in cuts]
         for pdf in batches:
             out = []
             for page, null, url, src, k in zip(pdf.page_id, pdf.null_id, pdf.url, pdf.html, pdf.k):
@@ -325,9 +330,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     cuts = ranges(rows.select("url", "k").mapInPandas(_keys, "host string, path string, k long"))
     if not cuts:
         return pages.sparkSession.createDataFrame([], SCHEMA)
-    dealt = rows.mapInPandas(_deal(cuts), "page_id long, null_id boolean, url string, host string, path string, k long, lines array<string>, bucket long, guest boolean")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", *KEY)
-    return dealt.mapInPandas(_texts, SCHEMA)
+    sent = pages.sparkSession.sparkContext.broadcast(cuts)
+    dealt = rows.mapInPandas(_deal(sent), "page_id long, null_id boolean, url string, host string, path string, k long, lines array<string>, bucket long, guest boolean")
+    return to_ranges(dealt, "bucket", len(cuts), *KEY).mapInPandas(_texts, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 A text's units are its paragraphs: lines, cut behind sentence ends; units of over 400 characters are cut at words
 chosen by their own hash, so that an edit moves few cuts. A unit is hashed (BLAKE2b, 512 bits) to two vectors:
-256 signs, times the unit's weight (the whole square root of its length), summed modulo 2^16, and four numbers
-summed modulo 2^64. Sums don't depend on order, and units can be added to or taken from a fingerprint (combine).
-Equal multisets give equal fingerprints; the 256-bit part makes others differ. The signed part is a second-moment
+256 signs, times the unit's weight (the whole square root of its length), summed modulo 2^16, and twelve numbers
+(the last eight by a second hash of the first) summed modulo 2^64. Sums don't depend on order, and units can be added
+to or taken from a fingerprint (combine). Equal multisets give equal fingerprints; the 768-bit part makes others differ. The signed part is a second-moment
 sketch: |A - B|^2 / (|A|^2 + |B|^2) estimates the share of characters that two texts don't have in common, and
 likeness is 1 minus that (standard error some 0.06; sums beyond 2^15, of units that repeat many thousand times,
 wrap, which spoils likeness only).
 
 Defined cases: a null or empty text has no units and the zero fingerprint; two such have likeness 1, one such and
 another 0; rows that repeat keep their place in the order (doc_id, hash of text); null doc_ids come last; with one
-row, the next document is itself; an empty table gives an empty result; extra columns are ignored.
+row, the next document is itself; an empty table gives an empty result; extra columns are ignored; a very long text is
+hashed whole, some thousand units at a time (a task holds a few copies of it, and of the one before).
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, range_cuts
+from .common import prepare, range_cuts, to_ranges
 
-LANES, WORDS = 256, 4
+LANES, WORDS = 256, 12
 CUT = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 LONG = 400
 
@@ -61,7 +62,8 @@ def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     signs, sums = np.zeros(LANES, np.int64), np.zeros(WORDS, np.uint64)
     for at in range(0, len(us), 4096):
         part = us[at : at + 4096]
-        raw = np.frombuffer(b"".join(hashlib.blake2b(u.encode("utf-8", "surrogatepass")).digest() for u in part), np.uint8).reshape(-1, 64)
+        digests = (hashlib.blake2b(u.encode("utf-8", "surrogatepass")).digest() for u in part)
+        raw = np.frombuffer(b"".join(d + hashlib.blake2b(d).digest() for d in digests), np.uint8).reshape(-1, 128)
         weight = np.array([math.isqrt(len(u)) for u in part], np.float64)
         bits = np.unpackbits(raw[:, : LANES // 8], axis=1)
         signs += (2 * (weight @ bits) - weight.sum()).astype(np.int64)
@@ -97,10 +99,11 @@ def of_text(s: str):
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _deal(firsts):
+def _deal(sent):
     """Rows to the range that holds their key, and the first row of each range to the range before as well."""
 
     def run(batches):
+        firsts = sent.value
         for pdf in batches:
             at, guest = [], []
             for key in zip(pdf.k.tolist(), pdf.h.tolist()):
@@ -142,13 +145,13 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     key = [F.coalesce(-F.col("doc_id"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")]
-    firsts, _ = range_cuts(docs.select(*key), ["k", "h"])
+    firsts = range_cuts(docs.select(*key), ["k", "h"])
     if not firsts:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), "text", *key)
-    dealt = rows.mapInPandas(_deal(firsts), "doc_id long, null_id boolean, text string, k long, h long, bucket long, guest int")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "k", "h")
-    return dealt.mapInPandas(_compare, SCHEMA)
+    sent = docs.sparkSession.sparkContext.broadcast(firsts)  # common.MAX_RANGES keys at most
+    dealt = rows.mapInPandas(_deal(sent), "doc_id long, null_id boolean, text string, k long, h long, bucket long, guest int")
+    return to_ranges(dealt, "bucket", len(firsts), "guest", "k", "h").mapInPandas(_compare, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

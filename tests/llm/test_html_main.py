@@ -90,3 +90,35 @@ def test_marks_drop_no_article():
     assert h.lines(f"<div class='ads'>Buy<article>{body}</article></div>")[0] == text
     assert h.lines(f"<article>{body}</article><div class='comments'><article>Nice!</article></div>") == (text, True)
     assert h.lines(f"<article>{body}</article><nav><article>Menu</article></nav><div class='sidebar'>Side</div>") == (text, True)
+
+
+def test_whole_query_against_brute_force(spark, tmp_path):
+    """Sites with a line at the start and one at the end of each article, copies and near copies; plain pages without."""
+    rnd = random.Random(5)
+    rows, told = [], {}
+    for host in ("a.org", "b.org", "c.org"):
+        for n in range(40):
+            own = [f"{host} page {n} line {k} {rnd.random()}" for k in range(rnd.randrange(2, 6))]
+            site = [f"{host} says", *own, f"all about {host}"] if host != "c.org" else own
+            tag = "article" if n % 2 else "div"
+            rows.append((len(rows), f"http://{host}/{n % 3}/p{n:02}", f"<html><body><nav>menu</nav><{tag}>" + "".join(f"<p>{x}</p>" for x in site) + f"</{tag}></body></html>"))
+            told[rows[-1][0]] = (own, site)
+        copy = rows[-1]
+        for c in range(2):
+            rows.append((len(rows), copy[1] + f"copy{c}", copy[2].replace("</nav>", "</nav>" + "<p>dated</p>" * (copy[2].count("article") == 0)) if c else copy[2]))
+            told[rows[-1][0]] = told[copy[0]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in h.query(spark, str(tmp_path)).collect()}
+    changed = 0
+    for i, (own, site) in told.items():
+        text = got[i].removeprefix("dated ")
+        assert text == " ".join(own), (i, rows[i][1])
+        changed += own != site
+    assert len(got) == len(rows) and changed == 84
+
+
+def test_nothing_of_a_main_element_is_lost():
+    text = lambda src: " ".join(h.lines(src)[0])
+    assert text("<main><h1>Head</h1><article>Body of it</article><p>tail</p></main>").startswith("Head Body of it")
+    assert "Real body, longer than any teaser" in text("<article>Teaser</article><main>Real body, longer than any teaser</main>")
+    assert "cell" in text("<article><p>Words.</p><table class='search-results'><tr><td>cell</td></tr></table></article>")
