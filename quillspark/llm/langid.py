@@ -10,11 +10,14 @@ largest count decides.
 The classifier is fitted on a sample of some ``docs_per_lang`` labelled documents of each language (whole texts,
 chosen by hash of doc_id); languages with fewer use all. Predictions read text only.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; a null lang isn't learned from; texts
-whose n-grams are all unknown get the language with most labelled documents and score 0; with nothing to learn from,
-all are ``und``; equal counts go to the first language by name; rows that repeat get the same answer; an empty table
-gives an empty result; extra columns are ignored and stay, but for a lang_pred or score, which predictions replaces; a
-document with null doc_id is not held out, and not learned from.
+A language's n-grams are cut off at ``grams_per_lang``, the model's size (held-out accuracy on sf0.1: see the README).
+
+Defined cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; a null lang isn't
+learned from; texts whose n-grams are all unknown get the language with most labelled documents and score 0; with
+nothing to learn from, all are ``und``; equal counts go to the first language by name; rows that repeat get the same
+answer; an empty table gives an empty result; extra columns are ignored and stay, but for a lang_pred, score or known,
+which predictions replaces; a document with null doc_id is not held out, and not learned from; a very long text is read
+whole, a million characters at a time.
 """
 
 from __future__ import annotations
@@ -23,35 +26,53 @@ import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, prepare
+from .common import columns, fresh, pieces, prepare
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals that aren't digits
+BORDER = re.compile(r"[\W\d_]")
+LETTERS = regex.compile(r"\p{L}+")
 SIZES = (3, 4)
 DOCS_PER_LANG, GRAMS_PER_LANG = 3000, 20_000
+#: The pipeline's stage asks that the language predicted knows so many of a text's n-grams.
+LEAST_KNOWN = 0.5
 #: An n-gram that another language uses so many times as often isn't taken for a language.
 RATIO = 20.0
 BITS, PROBES = 20, 4
 SLICE = 1 << 20
 
 
+def words(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    found = WORD.findall(text)
+    return found if "".join(found).isalpha() else LETTERS.findall(text)
+
+
+def hashes(text: str | None):
+    """Hashes of all n-grams of a text's words, some million at a time."""
+    tail = " "
+    for piece in pieces((text or "").lower(), BORDER):
+        if not (found := words(piece)):
+            continue
+        codes = np.frombuffer(f"{tail}{' '.join(found)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        new = len(codes) - len(tail)
+        for n in SIZES:
+            # those that end in this piece
+            x = codes[-(min(len(codes), new + n - 1)) :]
+            if len(x) >= n:
+                h = np.full(len(x) - n + 1, n, np.uint64)
+                for i in range(n):
+                    h = (h ^ x[i : len(x) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                yield h
+        tail = codes[-(max(SIZES) - 1) :].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def grams(text: str | None) -> np.ndarray:
-    """Hashes of all n-grams of a text's words."""
-    words = LETTERS.findall((text or "").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    out = []
-    for n in SIZES:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = (h ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out.append(h)
-    return np.concatenate(out)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes(text)])
 
 
 def _positions(h: np.ndarray, i: int) -> np.ndarray:
@@ -72,8 +93,8 @@ class Filters:
         fill = [float(((self.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(langs))]
         self.false = np.array(fill) ** PROBES
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Hits of each language, corrected for false positives."""
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language's filter holds."""
         out = np.zeros(len(self.langs))
         for at in range(0, len(h), SLICE):
             part = h[at : at + SLICE]
@@ -83,18 +104,29 @@ class Filters:
                     mask = mask & slots[_positions(part, i)]
                 for k in range(64 * w, min(64 * w + 64, len(self.langs))):
                     out[k] += np.count_nonzero(mask & np.uint64(1 << (k % 64)))
-        return (out - len(h) * self.false) / (1 - self.false)
+        return out
+
+    def corrected(self, hits: np.ndarray, n: int) -> np.ndarray:
+        """Hits among n n-grams less those to be expected from false positives."""
+        return (hits - n * self.false) / (1 - self.false)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        h = grams(text)
-        if not len(h) or not self.langs:
-            return "und", 0.0
-        c = np.maximum(self.counts(h), 0)
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return self.corrected(self.hits(h), len(h))
+
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """(language, score, share of the n-grams that it knows)."""
+        n, c = 0, np.zeros(len(self.langs))
+        for h in hashes(text):
+            n += len(h)
+            c += self.hits(h)
+        if not n or not self.langs:
+            return "und", 0.0, 0.0
+        c = np.maximum(self.corrected(c, n), 0)
         best = int(c.argmax())
         if c[best] <= 0:
-            return self.prior, 0.0
+            return self.prior, 0.0, 0.0
         second = np.delete(c, best).max() if len(c) > 1 else 0.0
-        return self.langs[best], float(c[best] / (c[best] + second))
+        return self.langs[best], float(c[best] / (c[best] + second)), float(min(1.0, c[best] / n))
 
 
 def held_out(doc_id) -> F.Column:
@@ -132,23 +164,23 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
 
 
 def predictor(spark, filters: Filters):
-    """A Column function: text to struct (lang_pred, score)."""
+    """A Column function: text to struct (lang_pred, score, known)."""
     sent = spark.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang_pred", "score", "known"])
 
     return predict
 
 
 def predictions(docs: DataFrame, **bounds) -> DataFrame:
-    """docs with lang_pred and score added, learned from its own labelled rows that aren't held out."""
+    """docs with lang_pred, score and known added, learned from its own labelled rows that aren't held out."""
     spark = prepare(docs.sparkSession)
     guess = predictor(spark, train(docs, **bounds))
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "known")
     (g,) = fresh(docs, "_g")
-    return docs.withColumn(g, guess("text")).select(*columns(docs), F.col(g)["lang_pred"].alias("lang_pred"), F.col(g)["score"].alias("score"))
+    return docs.withColumn(g, guess("text")).select(*columns(docs), *[F.col(g)[c].alias(c) for c in ("lang_pred", "score", "known")])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -157,8 +189,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     return predictions(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose text shows no language (``und``) go."""
+def keeps(guess: F.Column, label: F.Column, languages: tuple[str, ...] | None = None, least_known: float = LEAST_KNOWN) -> F.Column:
+    """Whether a document stays: its text has letters, the language predicted is one of ``languages`` (None: any that
+    was learned) and knows at least ``least_known`` of its n-grams, and a label, if there is one, names the same."""
+    wanted = guess["lang_pred"].isin(*languages) if languages is not None else F.lit(True)
+    return (guess["lang_pred"] != "und") & wanted & (guess["known"] >= least_known) & F.coalesce(label == guess["lang_pred"], F.lit(True))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None, least_known: float = LEAST_KNOWN) -> DataFrame:
+    """Pipeline stage: documents go whose text has no letter, is in none of the languages (by ``keeps``), or is in
+    another one than their label says. With nothing labelled there is no language to tell: all of them go."""
     guess = predictor(prepare(spark), train(docs))
     (g,) = fresh(docs, "_g")
-    return docs.withColumn(g, guess("text")).where(F.col(g)["lang_pred"] != "und").select(*columns(docs))
+    return docs.withColumn(g, guess("text")).where(keeps(F.col(g), F.col("lang"), languages, least_known)).select(*columns(docs))

@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,7 +29,10 @@ def test_defined_cases(spark):
     none = langid.predictions(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert langid.predictions(df.limit(0)).collect() == []
-    assert langid.stage(spark, df, "").count() == len(rows) - 2
+    # the stage: no letter, only unknown n-grams, another language than the label's
+    assert {r[0] for r in rows} - {r.doc_id for r in langid.stage(spark, df, "").collect()} == {100, 101, 103, None}
+    german = langid.stage(spark, df, "", languages=("de",)).collect()
+    assert {r.lang for r in german} == {"de"} and len(german) == 30
 
 
 @pytest.mark.parametrize("n", [1, 3, 70])
@@ -36,3 +41,55 @@ def test_filters_hold_all_languages_of_a_gram(n):
     f = langid.Filters(sorted(tables), "l00", tables)
     c = f.counts(langid.grams("shared"))
     assert (c > 5).all()
+
+
+def plain_grams(text):
+    """n-grams of 3 and 4 characters of a text's letters, as strings."""
+    out, word = [], []
+    for c in [*(text or "").lower(), " "]:
+        if c.isalpha():
+            word.append(c)
+        elif word:
+            out.append("".join(word))
+            word = []
+    s = f" {' '.join(out)} " if out else ""
+    return [s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)]
+
+
+def test_predictions_against_sets_of_grams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    counted = {}
+    for r in rows:
+        counted.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    share = {k: {g: n / c.total() for g, n in c.items()} for k, c in counted.items()}
+    # no language has as many n-grams here as the model takes, so all of them count
+    assert all(len(c) <= langid.GRAMS_PER_LANG for c in counted.values())
+    known = {k: {g for g, p in s.items() if p * langid.RATIO >= max(t.get(g, 0) for t in share.values())} for k, s in share.items()}
+    df = spark.createDataFrame(docs)
+    got = {r.doc_id: r for r in langid.predictions(df).collect()}
+    for r in docs:
+        grams = plain_grams(r.text)
+        hits = sorted(((sum(g in known[k] for g in grams), k) for k in known), key=lambda x: (-x[0], x[1]))
+        assert abs(got[r.doc_id].known - hits[0][0] / len(grams)) < 0.01
+        if hits[0][0] - hits[1][0] > 0.01 * len(grams):
+            assert got[r.doc_id].lang_pred == hits[0][1]
+
+
+def test_numerals_and_signs_are_no_letters(spark):
+    texts = ["½ ²", "Ⅷ ①", "_", "１２", "́", "a½b", None, ""]
+    rows = [(i, "the cat sat on the mat", "en") for i in range(40)] + [(100 + i, t, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.lang_pred for r in langid.predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[100 + i] for i in range(len(texts))] == ["und"] * 5 + ["en", "und", "und"]
+    assert langid.words("a½b Ⅷ c") == ["a", "b", "c"]
+
+
+def test_long_texts_give_the_same_grams(monkeypatch):
+    rnd = random.Random(3)
+    text = "".join(rnd.choices("abcdé ,1Ⅷ", k=5000)) + "x" * 3000 + " end"
+    whole = Counter(langid.grams(text).tolist())
+    assert sum(whole.values()) == len(plain_grams(text))
+    pieces = langid.pieces
+    for size in (7, 100, 2500):
+        monkeypatch.setattr(langid, "pieces", lambda t, border, size=size: pieces(t, border, size))
+        assert Counter(langid.grams(text).tolist()) == whole
