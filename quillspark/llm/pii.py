@@ -11,27 +11,54 @@ usual are validated at each part; what lies between them is a card of any groupi
 
 Two Feistel networks, each of ROUNDS rounds with SHA-256 of key, kind, round and the other half: one over the
 characters of a string, whose halves shift each other's digits and letters within their class (digits of cards,
-IBANs, phone and security numbers, mailbox names); one over pairs of Z_a x Z_b (dates as day numbers, 17 x 4297 days
+IBANs in either case, phone and security numbers, mailbox names); one over pairs of Z_a x Z_b (dates as day numbers, 17 x 4297 days
 of 200 years; addresses, 65536 x 65536). Check digits are computed anew; separators, country codes and mail
 domains stay.
 
+The key is the session's setting ``spark.quillspark.pii.key``. Where it is unset, DEMO_KEY serves, with a warning:
+that one is public, so whoever has this source can invert such pseudonyms.
+
 Defined cases: a null text stays null with 0 found, an empty one empty; rows that repeat get the same answer; an
-empty table gives an empty result; extra columns stay, but for a private_kinds, which pseudonymize replaces.
+empty table gives an empty result; extra columns stay, but for a private_kinds, which pseudonymize replaces; of kinds
+that fit one candidate the first of EMAIL, IPV4, IBAN, ISO, DMY, MDY, SSN, runs of numbers, PHONE that validates counts; a
+very long text is searched whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, fresh
 
 ROUNDS = 8
-KEY = "quillspark-demo-key"
+SETTING, DEMO_KEY = "spark.quillspark.pii.key", "quillspark-demo-key"
+
+# Lengths of IBANs by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 "
+    "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 "
+    "SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()
+
+
+def _iban_pattern() -> str:
+    """IBANs in groups of four or unbroken, in either case, as long as their country has them; those of countries that
+    aren't listed in capitals, of any length."""
+    kinds = []
+    for n, some in itertools.groupby(sorted(IBAN_LENGTHS, key=lambda x: (int(x[2:]), x)), lambda x: int(x[2:])):
+        rest = f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else ""
+        kinds.append(f"(?:{'|'.join(x[:2] for x in some)})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}")
+    listed = "|".join(x[:2] for x in IBAN_LENGTHS)
+    return rf"(?<!\w)(?=[A-Za-z]{{2}}\d\d)(?:(?i:{'|'.join(kinds)})|(?!{listed})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?!\w)"
+
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+IBAN = _iban_pattern()
 ISO = r"(?<![\w./-])\d{4}-\d{2}-\d{2}(?!(?!T\d\d)\w|[./-]\d)"
 DMY = r"(?<![\w./-])\d{1,2}([./-])\d{1,2}\1\d{4}(?!\w|[./-]\d)"
 MDY = r"(?<![\w./-])\d{1,2}([/-])\d{1,2}\1\d{4}(?!\w|[./-]\d)"
@@ -96,9 +123,9 @@ def _digits(m: str) -> str:
     return f"regexp_replace({m}, '[^0-9]', '')"
 
 
-def _refill(m: str, new: str, keep: int | str = 0) -> str:
-    """m with its digits and capitals, from the keep-th on, replaced by the characters of new in turn."""
-    step = f"if(c rlike '[0-9A-Z]', named_struct('n', a.n + 1, 'o', concat(a.o, if(a.n < {keep}, c, substr(w, a.n - {keep} + 1, 1)))), named_struct('n', a.n, 'o', concat(a.o, c)))"
+def _refill(m: str, new: str, keep: int | str = 0, chars: str = "[0-9A-Z]") -> str:
+    """m with its digits and capitals (chars), from the keep-th on, replaced by the characters of new in turn."""
+    step = f"if(c rlike '{chars}', named_struct('n', a.n + 1, 'o', concat(a.o, if(a.n < {keep}, c, substr(w, a.n - {keep} + 1, 1)))), named_struct('n', a.n, 'o', concat(a.o, c)))"
     return _let(new, "w", f"aggregate({_chars(m)}, named_struct('n', 0, 'o', ''), (a, c) -> {step}, a -> a.o)")
 
 
@@ -122,11 +149,12 @@ def _card(key: str, m: str = "m") -> tuple[str, str]:
 
 
 def _iban(key: str) -> tuple[str, str]:
-    plain = "replace(m, ' ', '')"
+    plain = "upper(replace(m, ' ', ''))"
     valid = _let(plain, "p", f"length(p) between 15 and 34 and {_mod97('concat(substr(p, 5), substr(p, 1, 4))')} = 1")
     check = f"lpad(cast(98 - {_mod97("concat(x, substr(p, 1, 2), '00')")} as string), 2, '0')"
     new = _let(plain, "p", _let(feistel_text("substr(p, 5)", key, "iban"), "x", f"concat({check}, x)"))
-    return valid, _refill("m", new, 2)
+    filled = _refill("m", new, 2, "[0-9A-Za-z]")
+    return valid, _let(filled, "f", "if(m = lower(m), lower(f), f)")
 
 
 def _date(key: str, year: str, month: str, day: str, back: str) -> tuple[str, str]:
@@ -219,9 +247,19 @@ def _replaced(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, list[Col
     return found, [new.alias(text) if c == text else x for c, x in zip(docs.columns, columns(docs))], kinds
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with the column text pseudonymised, and private_kinds added: the kinds replaced, in their order."""
-    found, cols, kinds = _replaced(docs.drop("private_kinds"), text, key)
+def key_of(spark: SparkSession) -> str:
+    """The session's key, or the public one."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        warnings.warn(f"{SETTING} is unset: pseudonyms are made with a public key and can be inverted", stacklevel=3)
+    return key or DEMO_KEY
+
+
+def pseudonymize(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """docs with the column text pseudonymised, and private_kinds added: the kinds replaced, in their order.
+
+    Without a key, the session's is taken."""
+    found, cols, kinds = _replaced(docs.drop("private_kinds"), text, key or key_of(docs.sparkSession))
     return found.select(*cols, kinds.alias("private_kinds"))
 
 
@@ -233,5 +271,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents, their texts pseudonymised."""
-    found, cols, _ = _replaced(docs, "text", KEY)
+    found, cols, _ = _replaced(docs, "text", key_of(spark))
     return found.select(*cols)

@@ -1,5 +1,8 @@
+import hashlib
 import re
-from datetime import date
+from datetime import date, timedelta
+
+import pytest
 
 from quillspark.llm import pii
 
@@ -74,3 +77,93 @@ def test_numbers_next_to_each_other(spark):
     assert got[0].private_kinds == ["ssn", "ssn"] and got[11].private_kinds == ["card"] * 4
     long = run(spark, [(1, "7 " * 20_000 + card, ""), (2, "1" * 100_000, ""), (3, "12345 " * 5_000, "")])
     assert long[1].text.endswith(new[1]) and long[2].text == "1" * 100_000
+
+
+def digest(key, kind, i, other):
+    return hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()
+
+
+def feistel(s, key, kind):
+    """Halves of a string in turn shifted by the hash of the other, written independently of the SQL."""
+    half = len(s) // 2
+    parts = [s[:half], s[half:]]
+    for i in range(1, 9):
+        at = i % 2
+        d, out = digest(key, kind, i, parts[1 - at]), []
+        for j, c in enumerate(parts[at]):
+            first, n = (("0", 10) if "0" <= c <= "9" else ("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else (None, 0))
+            k = int(d[j * 4 % 60 :][:4], 16)
+            out.append(c if first is None else chr(ord(first) + (ord(c) - ord(first) + k) % n))
+        parts[at] = "".join(out)
+    return "".join(parts)
+
+
+def pair(n, a, b, key, kind):
+    q, r = divmod(n, b)
+    for i in range(1, 9):
+        if i % 2:
+            q = (q + int(digest(key, kind, i, r)[:14], 16)) % a
+        else:
+            r = (r + int(digest(key, kind, i, q)[:14], 16)) % b
+    return q * b + r
+
+
+def test_feistel_against_an_independent_version(spark):
+    texts = ["", "7", "41", "123", "411111111111111", "WEST12345698765432", "a.b+7_x", "ZzAa09", "5390075470"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").selectExpr("s", pii.feistel_text("s", "key's", "card") + " as x").collect()
+    assert [r.x for r in rows] == [feistel(r.s, "key's", "card") for r in rows]
+    rows = spark.range(0, 73049, 977).selectExpr("id", pii.feistel_pair("id", 17, 4297, "k", "date") + " as x", pii.feistel_pair("id * 50000", 65536, 65536, "k", "ip") + " as y").collect()
+    assert [(r.x, r.y) for r in rows] == [(pair(r.id, 17, 4297, "k", "date"), pair(r.id * 50000, 65536, 65536, "k", "ip")) for r in rows]
+
+
+def test_pseudonyms_against_an_independent_version(spark):
+    def card(d):
+        x = feistel(d[:-1], "k", "card")
+        return x + next(c for c in "0123456789" if luhn(x + c))
+
+    def iban(p):
+        x = feistel(p[4:], "k", "iban")
+        return next(f"{p[:2]}{n:02}{x}" for n in range(2, 100) if int("".join(str(int(c, 36)) for c in x + p[:2] + f"{n:02}")) % 97 == 1)
+
+    day = lambda s: str(date(1900, 1, 1) + timedelta(pair((date.fromisoformat(s) - date(1900, 1, 1)).days, 17, 4297, "k", "date")))
+    n = pair((192 << 24) + (168 << 16) + 7, 65536, 65536, "k", "ip")
+    cases = {
+        "4111111111111111": card("4111111111111111"),
+        "378282246310005": card("378282246310005"),
+        "GB82WEST12345698765432": iban("GB82WEST12345698765432"),
+        "BE68539007547034": iban("BE68539007547034"),
+        "1999-12-31": day("1999-12-31"),
+        "2000-02-29": day("2000-02-29"),
+        "192.168.0.7": ".".join(str(n >> s & 255) for s in (24, 16, 8, 0)),
+        "123-45-6789": re.sub(r"^(...)(..)", r"\1-\2-", feistel("123456789", "k", "ssn")),
+        "a.b@c.org": feistel("a.b", "k", "mail") + "@c.org",
+    }
+    got = run(spark, [(i, x, "") for i, x in enumerate(cases)], key="k")
+    assert [got[i].text for i in range(len(cases))] == list(cases.values())
+
+
+@pytest.mark.parametrize("tail", ["", " BIC KREDBEBB", " KREDBEBB", " 1234", " ABCD EFGH", ", 12", "."])
+def test_ibans_end_where_their_country_says(spark, tail):
+    forms = ["BE68 5390 0754 7034", "BE68539007547034", "be68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "gb82west12345698765432", "NO93 8601 1117 947", "QQ" + str(98 - int(f"{'1' * 12}262600") % 97).zfill(2) + "1" * 12]
+    got = run(spark, [(i, x + tail, "") for i, x in enumerate(forms)])
+    plain = [got[i].text[: len(x)].replace(" ", "") for i, x in enumerate(forms)]
+    for i, x in enumerate(forms[:-1] if tail not in ("", ".", ", 12") else forms):
+        new = got[i].text
+        assert got[i].private_kinds == ["iban"] and new.endswith(tail) and new[:2] == x[:2] and new != x + tail
+        p = plain[i].upper()
+        assert int("".join(str(int(c, 36)) for c in p[4:] + p[:4])) % 97 == 1
+        assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", new))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", x + tail)))
+    assert plain[0] == plain[1] == plain[2].upper() and plain[3] == plain[4].upper()
+
+
+def test_the_session_names_the_key(spark):
+    df = spark.createDataFrame([(1, "4111111111111111")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="public key"):
+        a = pii.pseudonymize(df).first().text
+    spark.conf.set(pii.SETTING, "secret")
+    try:
+        b = pii.pseudonymize(df).first().text
+        assert pii.stage(spark, df, "").first().text == b
+    finally:
+        spark.conf.unset(pii.SETTING)
+    assert a != b == pii.pseudonymize(df, key="secret").first().text
