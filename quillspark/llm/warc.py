@@ -6,12 +6,15 @@ run again leaves files that nothing reads. Payloads of at least ``min_revisit_by
 stored once, under the largest page_id; the other records are revisits that refer to it.
 
 Reader: a task gets a byte range of a file. It scans for the gzip magic, validates each candidate by decoding the
-member's first bytes to a WARC header, and owns the records whose member starts inside its range; from the first
-valid one it goes from member to member. A record that starts inside is read to its end, beyond the range.
+member's whole header block (version, type, id and length must be there), and owns the records whose member starts
+inside its range; from a valid one it goes on behind its end, and scans again where no member follows (padding, foreign
+bytes). A record that starts inside is read to its end, beyond the range. What looks like a record inside a payload that
+is stored without compression can't be told from one; UTF-8 text never holds the magic.
 
 Defined cases: a null html is an empty payload; a null url gives a record without target; rows that repeat give a
 record each, and those with the largest page_id of equal payloads are all responses; a null page_id never is the
-largest, unless all are null: then all are responses; an empty table gives no records; extra columns are ignored.
+largest, unless all are null: then all are responses; an empty table gives no records; extra columns are ignored; a
+very long page is one record, which a task holds whole; a member without end is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
+#: Header blocks are looked for in so many bytes.
+HEAD = 64 << 10
 BLOCK = 1 << 20
 ROLL = 1 << 30
 SPLIT = 32 << 20
@@ -110,6 +115,21 @@ def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
+def is_record(member: bytes) -> bool:
+    """Whether the first bytes of a gzip member decode to a WARC header block."""
+    z, raw, at = zlib.decompressobj(31), b"", 0
+    while b"\r\n\r\n" not in raw:
+        if at >= len(member) or z.eof or not b"WARC/1.".startswith(raw[:7]):
+            return False
+        try:
+            raw += z.decompress(member[at : at + 1024])
+        except zlib.error:
+            return False
+        at += 1024
+    _, h = _headers(raw.partition(b"\r\n\r\n")[0])
+    return bool(h.get("warc-type") and h.get("warc-record-id")) and h.get("content-length", "").isdigit()
+
+
 def records_in(f, length: int, start: int, end: int):
     """Yield (offset, bytes of the record) for the members of open file f that start in [start, end)."""
     at, known = start, False
@@ -139,11 +159,8 @@ def records_in(f, length: int, start: int, end: int):
             at = base + hit
             if at >= end:
                 return
-            more(min(length, at + 4096))
-            try:
-                if not zlib.decompressobj(31).decompress(buffer[at - base : at - base + 4096], 64).startswith(b"WARC/1."):
-                    raise zlib.error
-            except zlib.error:
+            more(min(length, at + HEAD))
+            if not is_record(buffer[at - base : at - base + HEAD]):
                 at += 1
                 continue
         buffer, base = buffer[at - base :], at
@@ -157,7 +174,9 @@ def records_in(f, length: int, start: int, end: int):
             fed += len(piece)
         yield at, b"".join(parts)
         at += fed - len(z.unused_data)
-        known = True
+        if at < end:
+            more(min(length, at + HEAD))
+            known = is_record(buffer[at - base : at - base + HEAD])
 
 
 def parse(raw: bytes, with_payload: bool) -> tuple:

@@ -1,7 +1,11 @@
 import base64
+import gzip
 import hashlib
 import os
 import random
+import zlib
+
+import pytest
 
 from quillspark.llm import warc
 
@@ -45,3 +49,29 @@ def test_magic_inside_a_member_is_no_record(tmp_path):
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_warc(warc.write_warc(df, f"file://{tmp_path}/e")).collect() == []
+
+
+def test_bytes_between_members_are_skipped(tmp_path):
+    a, b = (warc.record(i, "u", b"payload %d" % i, None, "d") for i in (1, 2))
+    path = tmp_path / "x"
+    for junk in (b"plain text", bytes(3000), warc.MAGIC * 9, zlib.compress(b"other", 9), gzip.compress(b"a member that is no record"), gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")):
+        path.write_bytes(junk + a + junk + b + junk)
+        n = path.stat().st_size
+        for step in (11, n):
+            with open(path, "rb") as f:
+                got = [raw for s in range(0, n, step) for _, raw in warc.records_in(f, n, s, min(n, s + step))]
+            assert [warc.parse(x, True)[-1] for x in got] == [b"payload 1", b"payload 2"], junk
+    path.write_bytes(a + b[:-20])
+    with open(path, "rb") as f, pytest.raises(EOFError):
+        list(warc.records_in(f, path.stat().st_size, 0, 1 << 20))
+
+
+def test_long_headers_and_payloads(tmp_path):
+    a = warc.record(1, "http://h/" + "".join(random.Random(1).choices("abcdefgh/", k=20_000)), b"x" * 50, None, "d")
+    b = warc.record(2, "u", os.urandom(3 << 20), None, "d")
+    path = tmp_path / "x"
+    path.write_bytes(a + b + a)
+    n = path.stat().st_size
+    with open(path, "rb") as f:
+        got = [at for s in range(0, n, 700_000) for at, _ in warc.records_in(f, n, s, min(n, s + 700_000))]
+    assert got == [0, len(a), len(a) + len(b)]
