@@ -3,7 +3,8 @@
 Tokenisation: the tokenizer is a file of the tokenizers library. If that file is plain byte-level BPE whose merges
 stand in the order of their ids, tiktoken encodes with ranks read from it: the same ids at a fraction of the time.
 Any other file, and texts with an added token's string or a run of white space too long for tiktoken's regular
-expressions, go through the tokenizers library itself.
+expressions, go through the tokenizers library itself. A file whose byte level uses its own split has one fixed pattern,
+which public_tokenizers.PATTERN is; tests compare the ids of both libraries.
 
 Cuts: a document's ids give full sequences of ``capacity`` ids; of the rest, a head that is a multiple of ``grain``
 and a tail shorter than it. Every second head (by hash of doc_id) is cut once more, at a multiple of the grain that
@@ -15,11 +16,12 @@ pattern slots are given out by rank: sequence and offset follow by arithmetic. H
 and tails fill the gaps, so padding is that of the last few sequences.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat are packed each; null doc_ids stay null;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored; a very long text is tokenised whole, in one task.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -67,13 +69,19 @@ class Encoder:
     def __init__(self, name: str):
         import public_tokenizers
         import tiktoken
+
+        self.path = name if os.path.exists(name) else public_tokenizers.path(name)
+        with open(self.path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", ())]
+        ranks = byte_ranks(self.path)
+        self.fast = ranks and tiktoken.Encoding(os.path.basename(self.path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cached_property
+    def tok(self):
+        """The library's own tokenizer, some 100 MB of a worker's memory: loaded where a text needs it."""
         from tokenizers import Tokenizer
 
-        path = name if os.path.exists(name) else public_tokenizers.path(name)
-        self.tok = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        ranks = byte_ranks(path)
-        self.fast = ranks and tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return Tokenizer.from_file(self.path)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
