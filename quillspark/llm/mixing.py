@@ -6,12 +6,15 @@ probabilities move along the null-space of the balancing constraints (documents
 they are 0 or 1. Three open documents always leave one direction, (s2-s3, s3-s1, s1-s2); the two step lengths that
 close one are drawn so that probabilities stay right on average. Blocks of some 4,000 documents of a source do this
 in parallel, larger documents first; of each at most two documents stay open, which go to blocks of the next level,
-until each source is one block. Its last two are the landing problem: the choice nearest to the words still due.
+until each source is one block. Its last two are the landing problem: the choice nearest to the words still due, and
+then exchanges of single documents of that last block while they come nearer. So a source's words come as near to their
+target as they can, at the cost of the cube's own draw there: for the last block's documents (at most ``block`` of a
+source) inclusion probabilities and the documents' total are kept approximately only; all others keep theirs.
 Draws come from a generator seeded with source, level and block, and blocks are ordered, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; rows that repeat are
 documents each; null doc_ids stay null; if all sizes are 0, nothing is taken; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored; of choices equally near the first stays; a very long text counts by its words, like any other.
 """
 
 from __future__ import annotations

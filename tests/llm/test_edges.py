@@ -62,3 +62,29 @@ def test_pages_and_vectors(spark):
         got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect())
         assert got == [(1, 2, 1), (2, 2, 1), (2, 2, 1), *((i, 0, i) for i in range(3, 8))]
     assert embed_dedup.near_duplicates(vectors.limit(0)).collect() == [] and html_main.main_text(pages.limit(0)).collect() == []
+
+
+def test_very_long_texts(spark):
+    """One text of some millions of characters beside short ones: every operator takes it whole."""
+    line = "the cat sat on the mat under the mit licence, 4111 1111 1111 1111. "
+    long = line * 20_000 + "the end"
+    rows = [(1, long, "en", "a", 1), (2, line, "en", "a", 1), (3, "x" * 2_000_000, "en", "b", 1), (4, "le chat " * 20, "fr", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(2)
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    assert by(multiset_hash.fingerprint_table(docs))[1].n_chars == len(long)
+    found = by(license_scan.license_scan(docs))
+    assert len(found[1].places) == 20_000 and found[1].n_words == 20_000 * 14 + 2 and found[3].n_words == 1
+    assert by(simhash.simhash_components(docs))[1].fp % 2**64 == simhash.fingerprint(long)
+    assert by(langid.predictions(docs))[1].lang_pred in ("en", "fr")
+    hidden = by(pii.pseudonymize(docs))
+    assert hidden[1].private_kinds == ["card"] * 20_000 and len(hidden[1].text) == len(long) and hidden[1].text.endswith(" the end")
+    assert by(mixing.mix(docs))[1]["size"] == 20_000 * 14 + 2
+    packed = packing.pack(docs.where("doc_id <> 3")).where("doc_id = 1").selectExpr("sum(length) as n", "max(doc_tokens) as all").first()
+    assert packed.n == packed["all"] > 200_000
+    pages = spark.createDataFrame([(1, "http://a.org/x", f"<article><p>{long}</p></article>"), (2, "http://a.org/y", "<p>" + "word</p><p>" * 50_000)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_main.main_text(pages).collect()}
+    assert got[1].text == long and got[2].text == " ".join(["word"] * 50_000)
+    read = {r.page_id: r for r in warc.read_warc(warc.write_warc(pages, warc.scratch_path(spark, "long")), split=1000).collect()}
+    assert bytes(read[1].payload).decode() == f"<article><p>{long}</p></article>"
+    wide = spark.createDataFrame([(i, [1.0] * 100_000 + [float(i // 2)]) for i in range(4)], "vec_id long, embedding array<float>")
+    assert {(r.vec_id, r.n_links) for r in embed_dedup.near_duplicates(wide).collect()} == {(i, 3) for i in range(4)}

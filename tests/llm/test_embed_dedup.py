@@ -46,3 +46,24 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_duplicates(df).collect() == []
+
+
+def test_recall_at_the_shipped_parameters(spark):
+    """Pairs planted just above the threshold, where hashing finds them least surely."""
+    rng = np.random.default_rng(9)
+    rows, want = [], set()
+    for i in range(1500):
+        v, w = rng.standard_normal((2, 64))
+        v /= np.linalg.norm(v)
+        w -= (w @ v) * v
+        w /= np.linalg.norm(w)
+        c = rng.uniform(0.94, 0.96)
+        a, b = np.float32(v), np.float32(c * v + np.sqrt(1 - c * c) * w)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, b.tolist())]
+        x, y = np.float64(a), np.float64(b)
+        if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.95:
+            want.add(i)
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("n_links > 0").collect()
+    found = {r.vec_id // 2 for r in got}
+    assert found <= want and all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got)
+    assert len(found) >= 0.99 * len(want) and len(want) > 600
