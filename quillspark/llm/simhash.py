@@ -271,7 +271,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group one row stays, the one with the smallest doc_id (null ids last), of such ones with
     the smallest hash of the text (one row, where both repeat). Rows that share an id but aren't near-duplicates stay.
 
-    Only ids and hashes are grouped; texts are looked up once, by what goes."""
+    Only ids and hashes are grouped; texts are shuffled once, to be looked up by what goes: by one plan at every size."""
     d, h = fresh(docs, "_d", "_h")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(d), F.xxhash64("text", F.col("doc_id").isNull()).alias(h)]
     rows = simhash_groups(docs.select("doc_id", "text")).where("grp is not null")
@@ -281,7 +281,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = rows.join(first, "grp").withColumn("stays", (F.col("d") == F.col("f.d")) & (F.col("h") == F.col("f.h")) & (F.col("none") == F.col("f.none")))
     marked = materialize(marked.where("not stays or n > 1").select(F.col("d").alias(d), F.col("h").alias(h), "stays"), "simmarks")
     keyed = docs.select(*columns(docs), *key)
-    kept = keyed.join(marked.select(d, h), [d, h], "left_anti")
+    kept = keyed.join(marked.select(d, h).hint("merge"), [d, h], "left_anti")
     if not (repeats := marked.where("stays").select(d, h)).isEmpty():
-        kept = kept.unionByName(keyed.join(repeats, [d, h], "left_semi").dropDuplicates([d, h]))
+        kept = kept.unionByName(keyed.join(repeats.hint("merge"), [d, h], "left_semi").dropDuplicates([d, h]))
     return kept.select(*columns(docs))
