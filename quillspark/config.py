@@ -55,6 +55,7 @@ class Config:
     section_types: tuple[str, ...] = ()
     min_contrast_margin: float = STRICT_FLOOR
     embedding_provider: str = "hash"
+    topic_provider: str = "local"
     min_target_works: int = 12
     min_background_works: int = 50
     experiment_id: str = "experiment"

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from ..config import ACCEPTANCE, CONTROL_TYPES, MODELS
 
 
+#: Mistakes that a failure report names.
+TOLD = 20
+#: More rows than a table of models, gates or criteria can have.
+SMALL = 1000
+
+
 def small(df: DataFrame) -> DataFrame:
-    """A table of a row for each model or gate, computed once: plans that name it often stay short."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A table of a row for each model or gate, computed once: plans that name it often stay short. Others are refused."""
+    rows = df.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        raise ValueError(f"a table of over {SMALL} rows isn't small")
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def _best(where: Column) -> Column:
@@ -75,6 +84,32 @@ def limitations(scores: DataFrame) -> DataFrame:
     return counts.select(F.filter(parts, lambda x: x.isNotNull()).alias("limitations"))
 
 
+def failure_report(acceptance: DataFrame, held_out: DataFrame, gates: DataFrame, tested: DataFrame, summary: DataFrame, loo: DataFrame, lto: DataFrame, compared: DataFrame) -> DataFrame:
+    """(place, line): what a run that missed a criterion has to say for itself, no row if it missed none.
+
+    All inputs have a row for each model, gate or criterion, but tested: its mistakes are named, the TOLD worst of each kind."""
+    failed = [r.criterion for r in acceptance.where("not met").orderBy("criterion").limit(SMALL).collect()]
+    spark = acceptance.sparkSession
+    if not failed:
+        return spark.createDataFrame([], "place int, line string")
+    m, d = held_out.first(), summary.first()
+    one = lambda model: next((r.roc_auc for r in compared.select("model", "roc_auc").collect() if r.model == model), 0.0)
+    lines = ["Criteria that were missed: " + ", ".join(failed) + "."]
+    if m is not None:
+        lines.append(f"Held out: {m['count']} works, AUC {m.roc_auc:.3f}, balanced accuracy {m.balanced_accuracy:.3f}, recall {m.recall:.3f}, false-positive rate {m.false_positive_rate:.3f}; limits {ACCEPTANCE}.")
+    lines.append(f"Backgrounds: {d.synthetic_background_count} of {d.background_count} are generated." if d.synthetic_background_count else f"Backgrounds: none of {d.background_count} is generated.")
+    for g in gates.orderBy("control_type").collect():
+        lines.append(f"{g.control_type}: not among the held-out works." if g.passed == "not_available" else f"{g.control_type}: {g.false_positive_count} of {g['count']} were taken for targets.")
+    means = [x.agg(F.avg("similarity")).first()[0] for x in (loo, lto)]
+    if None not in means:
+        lines.append(f"Mean similarity with the work left out {means[0]:.3f}, with its main theme left out {means[1]:.3f}: " + ("the theme explains a part of it." if means[1] < means[0] - 0.01 else "no sign that themes explain it."))
+    lines.append(f"Validation AUC of the residual margin {one('residual_margin'):.3f}, of the raw one {one('raw_margin'):.3f}.")
+    for actual, name, order in ((False, "False positives", F.desc("score")), (True, "False negatives", F.asc("score"))):
+        worst = [r.title for r in tested.where((F.col("actual") == actual) & (F.col("predicted_target") != actual)).orderBy(order, "id").limit(TOLD).collect()]
+        lines.append(f"{name}, the worst first: " + (", ".join(worst) or "none") + ".")
+    return spark.createDataFrame(list(enumerate(lines)), "place int, line string")
+
+
 def hard_negative_summary(rows: DataFrame) -> DataFrame:
     """One row on mined rows (target_id, background_id, similarity): numbers, and the mean of the backgrounds' maxima."""
     best = rows.groupBy("background_id").agg(F.max("similarity").alias("s"), F.count(F.lit(1)).alias("n"))

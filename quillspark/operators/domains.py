@@ -21,7 +21,8 @@ def sections_of(name: str, configured: str = "") -> tuple[str, ...]:
 class Domain:
     """Hooks of a domain. ``parse_works``: files (path, value, set) to works. ``parse_blocks``: works to parsed blocks.
     ``scopes``: works and blocks to further texts (work_id, scope, text), or None. The extractors give features of
-    atoms, blocks and works. ``seed``: how seed texts are laid out, a folder for each work or text files."""
+    atoms, blocks and works. ``seed``: how seed texts are laid out, a folder for each work (directory-work: they are read
+    by import_corpus) or text files."""
 
     name: str
     section_types: tuple[str, ...]

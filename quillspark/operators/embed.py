@@ -4,36 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DIMENSIONS
 from ..functions.text import content_hash, create_id, words
-from ..functions.vector import normalize
+from ..functions.vector import let, normalize
 from .topics import FIELDS, topic_text
 
 
-def hash_cells(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, bucket, weight): signed sums of word and character 3-gram hashes."""
-    low = df.select(key, F.lower(text).alias("_t"))
-    byte = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
-    tokens = low.select(key, F.explode(words(F.col("_t"))).alias("_w")).groupBy(key, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    tokens = tokens.withColumn("_h", F.sha2("_w", 256))
-    sign = F.when(byte("_h", 3) % 2 == 0, 1.0).otherwise(-1.0)
-    tokens = tokens.select(key, (byte("_h", 1) % DIMENSIONS).alias("bucket"), (F.col("_n") * sign * (1 + F.least(F.length("_w"), F.lit(12)) / 12)).alias("_x"))
+def _byte(h: Column, at: int) -> Column:
+    return F.conv(F.substring(h, at, 2), 16, 10).cast("int")
+
+
+def hash_cells(text: Column) -> Column:
+    """The text's cells, an array of struct(b, x): a bucket and a signed weight for each word and character 3-gram."""
+    cell = lambda h, x: F.struct((_byte(h, 1) % DIMENSIONS).alias("b"), F.when(_byte(h, 3) % 2 == 0, x).otherwise(-x).alias("x"))
+    tokens = F.transform(words(text), lambda w: let(F.sha2(w, 256), lambda h: cell(h, 1 + F.least(F.length(w), F.lit(12)) / 12)))
     # characters are taken apart once: a substring by place would walk the text from its start for each gram
-    chars = low.where(F.length("_t") >= 3).select(key, F.expr("filter(split(_t, ''), c -> c <> '')").alias("_c"))
-    grams = chars.select(key, F.explode(F.expr("transform(slice(_c, 1, size(_c) - 2), (c, i) -> concat(c, _c[i + 1], _c[i + 2]))")).alias("_g"))
-    grams = grams.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.sha1("_g"))
-    grams = grams.select(key, (byte("_h", 1) % DIMENSIONS).alias("bucket"), (F.col("_n") * F.when(byte("_h", 3) % 2 == 0, 0.15).otherwise(-0.15)).alias("_x"))
-    return tokens.union(grams).groupBy(key, "bucket").agg(F.sum("_x").alias("weight"))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    three = let(chars, lambda cs: F.zip_with(F.zip_with(cs, F.slice(cs, 2, F.greatest(F.size(cs), F.lit(1))), lambda a, b: F.concat(a, b)), F.slice(cs, 3, F.greatest(F.size(cs), F.lit(1))), lambda ab, c: F.concat(ab, c)))
+    grams = F.transform(F.filter(three, lambda g: g.isNotNull()), lambda g: let(F.sha1(g), lambda h: cell(h, F.lit(0.15))))
+    return F.concat(tokens, grams)
 
 
 def hash_embedding(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, vector) for each row of df; a text without tokens or grams has the zero vector."""
-    cells = hash_cells(df, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return df.select(key).distinct().join(cells, key, "left").select(key, normalize(dense).alias("vector"))
+    """(key, vector) for each distinct key and text of df; a text without tokens or grams has the zero vector.
+
+    A text's cells are summed where they arise, into one row of DIMENSIONS sums: that is all that is shuffled."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    none = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("x"))
+    cells = df.select(F.col(key), F.xxhash64(text).alias("_h"), F.explode(F.concat(F.array(none), hash_cells(low))).alias("_c")).select(key, "_h", "_c.b", "_c.x")
+    sums = [F.sum(F.when(F.col("b") == i, F.col("x")).otherwise(0.0)).alias(f"_{i}") for i in range(DIMENSIONS)]
+    return cells.groupBy(key, "_h").agg(*sums).select(key, normalize(F.array(*[F.col(f"_{i}") for i in range(DIMENSIONS)])).alias("vector"))
 
 
 PROVIDERS: dict[str, tuple[str, Callable[[DataFrame, str, str], DataFrame]]] = {"hash": ("local-hash-embedding-v1", hash_embedding)}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import centroids, cosine
 
+PARTS = 64
+
 
 def per_target(targets: DataFrame, backgrounds: DataFrame, k: int = 5, split_aware: bool = False) -> DataFrame:
     """(target_id, background_id, split, similarity, rank) of targets and backgrounds (id, split, vector)."""
@@ -25,8 +27,11 @@ def by_centroid(targets: DataFrame, backgrounds: DataFrame, k: int = 5, split_aw
     cents = centroids(t, ["split"]).select("split", F.col("vector").alias("_c"), (F.greatest(F.lit(1), F.col("count")) * k).alias("_k"))
     pairs = backgrounds.withColumn("split", name).join(F.broadcast(cents), "split", "left")
     pairs = pairs.select(F.concat(F.lit("target_centroid_"), F.col("split")).alias("target_id"), F.col("id").alias("background_id"), "split", cosine(F.col("vector"), F.col("_c")).alias("similarity"), F.coalesce("_k", F.lit(k)).alias("_k"))
+    # the first _k of each of PARTS parts of a split hold the first _k of all
+    part = F.pmod(F.xxhash64("background_id"), F.lit(PARTS))
+    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("split", part).orderBy(F.desc("similarity"), "background_id"))).where("_r <= _k").drop("_r")
     rank = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("similarity"), "background_id"))
-    return pairs.withColumn("rank", rank).where("rank <= _k").drop("_k")
+    return near.withColumn("rank", rank).where("rank <= _k").drop("_k")
 
 
 def selected(rows: DataFrame, cap: int = 0) -> DataFrame:

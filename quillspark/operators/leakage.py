@@ -36,29 +36,57 @@ def shared_phrases(candidates: DataFrame, targets: DataFrame, least: int = 2, mo
     return left.join(right, "phrase").select("id", "phrase", "target_id", "target_line")
 
 
-def longest_runs(candidates: DataFrame, targets: DataFrame, seed: int = 6) -> DataFrame:
-    """(id, run): the longest run of tokens that a candidate shares with one target, for runs of ``seed`` at least.
+def _grams(df: DataFrame, key: str, n: int, at: str | None = None) -> DataFrame:
+    """(key, h) for each n-gram of a text's tokens; with ``at``, its place."""
+    t = df.select(key, leak_tokens(F.col("text")).alias("_t")).where(F.size("_t") >= n)
+    hashes = F.expr(f"transform(sequence(1, size(_t) - {n - 1}), i -> xxhash64(array_join(slice(_t, i, {n}), ' ')))")
+    return t.select(key, F.posexplode(hashes).alias(at, "_h") if at else F.explode(F.array_distinct(hashes)).alias("_h"))
 
-    Seeds of that many tokens are joined; those of one diagonal that follow each other make an island, whose length
-    is its seeds plus seed - 1. Frequent single tokens never meet. Candidates without a shared seed aren't listed:
-    their run is shorter than seed."""
 
-    def seeds(df: DataFrame, key: str, at: str) -> DataFrame:
-        t = df.select(key, leak_tokens(F.col("text")).alias("_t")).where(F.size("_t") >= seed)
-        return t.select(key, F.posexplode(F.expr(f"transform(sequence(1, size(_t) - {seed - 1}), i -> xxhash64(array_join(slice(_t, i, {seed}), ' ')))")).alias(at, "_h"))
+def long_runs(candidates: DataFrame, targets: DataFrame, seed: int = 6) -> DataFrame:
+    """(id, run): the longest run of tokens that a candidate shares with one target, for runs of ``seed`` at least.
 
-    hits = seeds(candidates, "id", "_i").join(seeds(targets, "target_id", "_j"), "_h").select("id", "target_id", "_i", (F.col("_i") - F.col("_j")).alias("_d"))
+    Seeds of that many tokens are joined; those of one diagonal that follow each other make an island, whose length
+    is its seeds plus seed - 1."""
+    hits = _grams(candidates, "id", seed, "_i").join(_grams(targets, "target_id", seed, "_j"), "_h").select("id", "target_id", "_i", (F.col("_i") - F.col("_j")).alias("_d"))
     w = Window.partitionBy("id", "target_id", "_d").orderBy("_i")
     runs = hits.withColumn("_g", F.col("_i") - F.row_number().over(w)).groupBy("id", "target_id", "_d", "_g").agg((F.count(F.lit(1)) + seed - 1).alias("run"))
     return runs.groupBy("id").agg(F.max("run").alias("run"))
 
 
+def longest_runs(candidates: DataFrame, targets: DataFrame, seed: int = 6) -> DataFrame:
+    """(id, run) of all candidates: the longest run of tokens shared with one target, 0 if there is none.
+
+    Runs of ``seed`` tokens or more are measured by long_runs. For shorter ones it is enough that some target has the
+    n-gram: targets' distinct n-grams are looked up, so frequent tokens meet one row each and no pairs come of them."""
+    short = None
+    for n in range(1, seed):
+        found = _grams(candidates, "id", n).join(_grams(targets, "target_id", n).select("_h").distinct(), "_h", "left_semi").select("id", F.lit(n).cast("long").alias("run"))
+        short = found if short is None else short.unionByName(found)
+    every = candidates.select("id", F.lit(0).cast("long").alias("run")).unionByName(long_runs(candidates, targets, seed))
+    every = every if short is None else every.unionByName(short)
+    return every.groupBy("id").agg(F.max("run").alias("run"))
+
+
+def line_counts(candidates: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, line_matches): how many rows exact_lines has for a candidate; targets are counted for each line first."""
+    norm = lambda x: F.array_join(leak_tokens(x), " ")
+    lined = lambda df, key: df.select(key, F.explode(leak_lines(F.col("text"))).alias("_l")).select(key, norm(F.col("_l")).alias("_n")).where("_n <> ''").distinct()
+    known = lined(targets, "target_id").groupBy("_n").agg(F.count(F.lit(1)).alias("_c"))
+    return lined(candidates, "id").join(known, "_n").groupBy("id").agg(F.sum("_c").alias("line_matches"))
+
+
+def phrase_counts(candidates: DataFrame, targets: DataFrame, least: int = 2, most: int = 6) -> DataFrame:
+    """(id, phrase_matches): how many rows shared_phrases has for a candidate; targets' lines are counted first."""
+    known = _phrases(targets, "target_id", least, most).select("target_id", "phrase", F.array_join(leak_tokens(F.col("line")), " ").alias("_n")).distinct()
+    known = known.groupBy("phrase").agg(F.count(F.lit(1)).alias("_c"))
+    return _phrases(candidates, "id", least, most).select("id", "phrase").distinct().join(known, "phrase").groupBy("id").agg(F.sum("_c").alias("phrase_matches"))
+
+
 def verdicts(candidates: DataFrame, targets: DataFrame, max_lines: int = 0, max_phrases: int = 0, max_run: int = 5, least: int = 2) -> DataFrame:
     """(id, line_matches, phrase_matches, long_run, passed); long_run is null if it is at most max_run."""
-    count = lambda df, name: df.groupBy("id").agg(F.count(F.lit(1)).alias(name))
-    rows = candidates.select("id").join(count(exact_lines(candidates, targets), "line_matches"), "id", "left")
-    rows = rows.join(count(shared_phrases(candidates, targets, least), "phrase_matches"), "id", "left")
-    rows = rows.join(longest_runs(candidates, targets, max_run + 1).withColumnRenamed("run", "long_run"), "id", "left").na.fill(0, ["line_matches", "phrase_matches"])
+    rows = candidates.select("id").join(line_counts(candidates, targets), "id", "left").join(phrase_counts(candidates, targets, least), "id", "left")
+    rows = rows.join(long_runs(candidates, targets, max_run + 1).withColumnRenamed("run", "long_run"), "id", "left").na.fill(0, ["line_matches", "phrase_matches"])
     return rows.withColumn("passed", passed(max_lines, max_phrases))
 
 

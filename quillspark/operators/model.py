@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from ..config import CONTROL_TYPES, MODELS, STRICT_FLOOR, THRESHOLD_PAD
 from ..functions.vector import centroids, cosine
-from .metrics import accepted, evaluate, overfit_risk, ratios, roc_auc
+from .metrics import accepted, evaluate, ratios, roc_auc
 
 
-def centroid_similarities(vectors: DataFrame) -> DataFrame:
-    """vectors (id, set, control_type, split, kind, vector) with similarities to the train centroids of their kind.
-
-    The centroids are at most three vectors a kind (raw, residual): they are joined as one row, broadcast."""
+def train_centroids(vectors: DataFrame) -> DataFrame:
+    """(kind, target, background, near_miss) centroids of the train rows of vectors (id, set, control_type, split, kind,
+    vector): a row a kind (raw, residual)."""
     near = F.when(F.col("control_type").isin(*CONTROL_TYPES) & (F.col("set") == "background"), F.lit("near_miss"))
     train = vectors.where("split = 'train' and set in ('target', 'background')").select("kind", "vector", F.explode(F.filter(F.array("set", near), lambda x: x.isNotNull())).alias("role"))
-    wide = centroids(train, ["kind", "role"]).groupBy("kind").agg(*[F.max_by("vector", F.when(F.col("role") == r, 1)).alias(f"_{r}") for r in ("target", "background", "near_miss")])
-    rows = vectors.join(F.broadcast(wide), "kind")
+    return centroids(train, ["kind", "role"]).groupBy("kind").agg(*[F.max_by("vector", F.when(F.col("role") == r, 1)).alias(r) for r in ("target", "background", "near_miss")])
+
+
+def similarities(vectors: DataFrame, wide: DataFrame) -> DataFrame:
+    """vectors (kind, vector, ...) with similarities to their kind's centroids, as train_centroids gives them.
+
+    These are at most three vectors a kind: they are joined as one row, broadcast."""
+    rows = vectors.join(F.broadcast(wide.select("kind", *[F.col(r).alias(f"_{r}") for r in ("target", "background", "near_miss")])), "kind")
     sims = {"target_similarity": cosine(F.col("vector"), F.col("_target")), "background_similarity": cosine(F.col("vector"), F.col("_background"))}
     near_sim = F.when(F.col("_near_miss").isNotNull(), cosine(F.col("vector"), F.col("_near_miss")))
     return rows.withColumns(sims | {"near_miss_similarity": near_sim}).drop("_target", "_background", "_near_miss")
 
 
+def centroid_similarities(vectors: DataFrame) -> DataFrame:
+    """vectors (id, set, control_type, split, kind, vector) with similarities to the train centroids of their kind."""
+    return similarities(vectors, train_centroids(vectors))
+
+
 def nearest_targets(vectors: DataFrame, pool: DataFrame, k: int = 1, drop_self: bool = True) -> DataFrame:
     """(kind, id, neighbour, similarity, rank): the k most similar of pool for each row, ties by id.
 
@@ -35,7 +45,7 @@ def nearest_targets(vectors: DataFrame, pool: DataFrame, k: int = 1, drop_self:
         pairs = pairs.where("id <> neighbour")
     pairs = pairs.select("kind", "id", "neighbour", cosine(F.col("vector"), F.col("_v")).alias("similarity"))
     if k == 1:
-        best = pairs.groupBy("kind", "id").agg(F.max_by(F.struct("neighbour", "similarity"), F.struct("similarity", -F.col("neighbour"))).alias("_b"))
+        best = pairs.groupBy("kind", "id").agg(F.min_by(F.struct("neighbour", "similarity"), F.struct(-F.col("similarity"), "neighbour")).alias("_b"))
         return best.select("kind", "id", "_b.neighbour", "_b.similarity", F.lit(1).alias("rank"))
     rank = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("similarity"), "neighbour"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -114,7 +124,7 @@ def choose_dual_gate(scores: DataFrame, keys: list[str], strict: bool) -> DataFr
 
 def compare_models(scores: DataFrame, split: str = "validation") -> DataFrame:
     """A row for each model: its thresholds, chosen on the split, and metrics there."""
-    rows = scores.where(F.col("split") == split).persist()  # one row a work and model, read by each search
+    rows = scores.where(F.col("split") == split)
     one = lambda m: rows.where(F.col("model") == m)
     plain = choose_threshold(rows.where(~F.col("model").contains("gate") & ~F.col("model").contains("contrast_strict")), ["model"]).withColumn("similarity_threshold", F.lit(None).cast("double"))
     strict = choose_strict_threshold(one("residual_near_miss_contrast_strict"), ["model"]).withColumn("similarity_threshold", F.lit(None).cast("double"))
@@ -145,18 +155,12 @@ def select_model(compared: DataFrame) -> DataFrame:
     return compared.orderBy((ok & residual).desc(), strict.desc(), *_order(rank.asc(), place.asc())).limit(1)
 
 
-def score_works(sims: DataFrame, pool: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Scored works with nearest target neighbour, memorisation risk and prediction for chosen models."""
-    near = nearest_targets(sims, pool, drop_self=False)
-    rows = model_scores(sims).join(near.select("kind", "id", "neighbour", "similarity"), ["kind", "id"], "left")
-    rows = rows.join(F.broadcast(chosen.select("model", "threshold", "similarity_threshold")), "model")
-    return rows.withColumns({"overfit_risk": overfit_risk(F.coalesce("similarity", F.lit(0.0))), "predicted_target": predicted()})
-
-
-def section_scores(residuals: DataFrame, blocks: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
-    """(work_id, type, similarities, margin): the first block of each type against the centroids of that type."""
-    first = residuals.join(blocks.select(F.col("id").alias("owner_id"), "index"), "owner_id").groupBy("work_id", F.col("block_type").alias("type")).agg(F.min_by("vector", "index").alias("vector"))
-    rows = first.join(F.broadcast(target.select(F.col("block_type").alias("type"), F.col("vector").alias("_t"))), "type").join(F.broadcast(background.select(F.col("block_type").alias("type"), F.col("vector").alias("_b"))), "type", "left")
+def section_scores(residuals: DataFrame, blocks: DataFrame, sections: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """(work_id, type, similarities, style_margin): the first block of each of the section types against the centroids
+    of that type (set, block_type, vector); no row without a target centroid, 0 for a missing background one."""
+    first = residuals.where(F.col("block_type").isin(*types)).join(blocks.select(F.col("id").alias("owner_id"), "index"), "owner_id").groupBy("work_id", F.col("block_type").alias("type")).agg(F.min_by("vector", "index").alias("vector"))
+    of = lambda name, to: sections.where((F.col("set") == name) & F.col("block_type").isNotNull()).select(F.col("block_type").alias("type"), F.col("vector").alias(to))
+    rows = first.join(F.broadcast(of("target", "_t")), "type").join(F.broadcast(of("background", "_b")), "type", "left")  # a row a section type
     rows = rows.withColumns({"target_similarity": cosine(F.col("vector"), F.col("_t")), "background_similarity": cosine(F.col("vector"), F.col("_b"))})
     return rows.select("work_id", "type", "target_similarity", "background_similarity", (F.col("target_similarity") - F.col("background_similarity")).alias("style_margin"))
 
@@ -165,14 +169,6 @@ def overall_style_score(margin: Column) -> Column:
     return F.floor((margin + 1) / 2 * 100 + 0.5).cast("long")
 
 
-def warnings(present: Column, sections: tuple[str, ...], risk: Column, leak_passed: Column, has_background: Column) -> Column:
-    """The warnings of a candidate, in their order."""
-    parts = [F.when(~has_background, "No background corpus found. Score is less reliable because there is no contrast set.")]
-    parts += [F.when(~F.array_contains(present, s), f"No {s} section found.") for s in sections]
-    parts += [F.when(risk == "high", "High nearest-neighbor similarity; inspect for memorization or close imitation."), F.when(~leak_passed, "Lexical leakage gate failed; candidate reuses exact or distinctive source-corpus wording.")]
-    return F.filter(F.array(*parts), lambda x: x.isNotNull())
-
-
 def leave_one_out(vectors: DataFrame, group: str = "id") -> DataFrame:
     """(group, id, similarity): each target against the centroid of those of other groups, by sums less the group's.
 
@@ -184,3 +180,11 @@ def leave_one_out(vectors: DataFrame, group: str = "id") -> DataFrame:
     return vectors.withColumn("_g", F.col(group)).join(means, "_g").select(F.col("_g").alias("group"), "id", cosine(F.col("vector"), F.col("_v")).alias("similarity"))
 
 
+def dataset_summary(works: DataFrame) -> DataFrame:
+    """One row on works (set, split, control_type): counts by set, of generated backgrounds, and by split."""
+    some = lambda c, name: F.count_if(c).alias(name)
+    background = F.col("set") == "background"
+    return works.agg(
+        F.count(F.lit(1)).alias("works"), some(F.col("set") == "target", "target_count"), some(background, "background_count"), some(background & (F.coalesce("control_type", F.lit("")) != ""), "synthetic_background_count"),
+        *[some(F.col("split") == x, f"{x}_count") for x in ("train", "validation", "test")],
+    )

@@ -16,8 +16,16 @@ def split_name(index: Column, n: Column) -> Column:
 
 
 def assign_splits(works: DataFrame, strata: list[str], seed: int = 137, key: str = "id") -> DataFrame:
-    """works with a split: those of a stratum in order of the hash of seed and id."""
+    """works with a split: those of a stratum in order of the hash of seed and id.
+
+    Places are counted in two steps: within each of 4096 parts of a stratum (by the hash's first digits), and over the
+    parts' sizes, so no task holds a stratum."""
     by = Window.partitionBy(*strata)
-    rows = works.withColumn("_h", content_hash(F.lit(seed), F.col(key)))
-    rows = rows.withColumns({"_i": F.row_number().over(by.orderBy("_h")) - 1, "_n": F.count(F.lit(1)).over(by)})
-    return rows.withColumn("split", split_name(F.col("_i"), F.col("_n"))).drop("_h", "_i", "_n")
+    rows = works.withColumn("_h", content_hash(F.lit(seed), F.col(key))).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(*strata, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.withColumns({"_before": F.sum("_c").over(by.orderBy("_p")) - F.col("_c"), "_n": F.sum("_c").over(by)}).drop("_c")
+    sizes = sizes.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_p").alias("_q"), "_before", "_n")
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*strata, "_p").orderBy("_h")) - 1)
+    same = [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(strata)]
+    rows = rows.join(sizes, [*same, F.col("_p") == F.col("_q")])
+    return rows.select(*works.columns, split_name(F.col("_before") + F.col("_i"), F.col("_n")).alias("split"))

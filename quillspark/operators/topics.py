@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ def clean(c: Column) -> Column:
     return collapse(F.regexp_replace(c, f"(?i){BORDER}(?:{'|'.join(BANNED_TOPIC_WORDS)}){BORDER}", ""))
 
 
+# The phrases of profiles where keywords are missing, and around them.
 def topic_profiles(works: DataFrame, domain: str = "lyrics") -> DataFrame:
     """works (id, title, text) to (work_id, five fields, synthetic, extractor)."""
     top = keywords(works).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("_k"))
@@ -50,3 +53,20 @@ def refresh_topics(works: DataFrame, cached: DataFrame, domain: str = "lyrics",
     ids = works.select(F.col("id").alias("work_id"))
     new = works.join(cached.select(F.col("work_id").alias("id")), "id", "left_anti")
     return cached.join(ids, "work_id", "left_semi").unionByName(topic_profiles(new, domain))
+
+
+PROVIDERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
+
+
+def register_provider(name: str, extract: Callable[[DataFrame, str], DataFrame]) -> None:
+    """Add a topic provider: a function of works (id, domain, title, text) and the domain's name that gives
+    (work_id, the five fields), say by mapInPandas over a model's answers."""
+    PROVIDERS[name] = extract
+
+
+def extract_topics(works: DataFrame, domain: str = "lyrics", provider: str = "local") -> DataFrame:
+    """Profiles by a registered provider, its fields cleaned like the local ones (missing ones empty), or the local ones."""
+    if provider == "local":
+        return topic_profiles(works, domain)
+    rows = PROVIDERS[provider](works, domain)
+    return rows.select("work_id", *[clean(F.coalesce(F.col(n) if n in rows.columns else F.lit(None).cast("string"), F.lit(""))).alias(n) for n in FIELDS], F.lit(False).alias("synthetic"), F.lit(provider).alias("extractor"))

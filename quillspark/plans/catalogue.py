@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..config import BANNED_TOPIC_WORDS, CONTROL_TYPES, FIRST_PERSON, IMAGE_STOPWORDS, LEAK_STOPWORDS, MODELS, SECOND_PERSON, TOPIC_STOPWORDS
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import assessment, controls, embed, features, hard_negatives, leakage, metrics, model, parse, residual, split, topics
+from ..operators import assessment, candidates, controls, embed, features, hard_negatives, leakage, metrics, model, parse, residual, split, topics
 from ..sources import readers
-from . import experiments
+from . import experiments, mining
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -88,6 +88,11 @@ def scores(spark, sf) -> DataFrame:
     return model.model_scores(similarities(spark, sf))
 
 
+def kept_scores(spark, sf) -> DataFrame:
+    """scores, kept for the searches that read them several times, until the caller clears the cache."""
+    return scores(spark, sf).persist()
+
+
 EMB = """emb AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v,
   CASE WHEN label = 0 THEN 'target' ELSE 'background' END AS st,
   CASE label WHEN 1 THEN 'same_topic_generic_ai_near_miss' WHEN 2 THEN 'attempted_lookalike' ELSE 'generic' END AS ctrl FROM embeddings),
@@ -389,19 +394,19 @@ def threshold_candidates(spark, sf):
 
 @query(f"WITH {CANDS} SELECT model, round(th, 6) AS threshold FROM plain")
 def choose_threshold(spark, sf):
-    val = scores(spark, sf).where("split = 'validation'")
+    val = kept_scores(spark, sf).where("split = 'validation'")
     return model.choose_threshold(val, ["model"]).select("model", r6("threshold").alias("threshold"))
 
 
 @query(f"WITH {CANDS} SELECT model, round(th, 6) AS threshold FROM strict")
 def choose_strict(spark, sf):
-    val = scores(spark, sf).where("split = 'validation'")
+    val = kept_scores(spark, sf).where("split = 'validation'")
     return model.choose_strict_threshold(val, ["model"]).select("model", r6("threshold").alias("threshold"))
 
 
 @query(f"WITH {CANDS} SELECT model, round(th, 6) AS threshold, round(sth, 6) AS similarity_threshold FROM (SELECT * FROM dual UNION ALL SELECT * FROM tight0)")
 def dual_gate(spark, sf):
-    val = scores(spark, sf).where("split = 'validation'")
+    val = kept_scores(spark, sf).where("split = 'validation'")
     one = lambda m, strict: model.choose_dual_gate(val.where(F.col("model") == m), ["model"], strict)
     out = one("residual_margin_dual_gate", False).unionByName(one("residual_margin_strict_dual_gate", True))
     return out.select("model", r6("threshold").alias("threshold"), r6("similarity_threshold").alias("similarity_threshold"))
@@ -413,7 +418,7 @@ CMP_SQL = "model, round(th, 6) AS threshold, round(sth, 6) AS similarity_thresho
 
 @query(f"WITH {CANDS} SELECT {CMP_SQL} FROM cmp")
 def model_comparison(spark, sf):
-    return model.compare_models(scores(spark, sf)).select("model", *[r6(c).alias(c) for c in CMP_COLS])
+    return model.compare_models(kept_scores(spark, sf)).select("model", *[r6(c).alias(c) for c in CMP_COLS])
 
 
 PICK = f"""o AS (SELECT *, auc >= 0.9 AND ba >= 0.85 AND recall >= 0.85 AND fpr <= 0.15 AS ok FROM cmp),
@@ -423,7 +428,7 @@ PICK = f"""o AS (SELECT *, auc >= 0.9 AND ba >= 0.85 AND recall >= 0.85 AND fpr
 
 @query(f"WITH {CANDS}, {PICK} SELECT {CMP_SQL} FROM pick")
 def model_selection(spark, sf):
-    return model.select_model(model.compare_models(scores(spark, sf))).select("model", *[r6(c).alias(c) for c in CMP_COLS])
+    return model.select_model(model.compare_models(kept_scores(spark, sf))).select("model", *[r6(c).alias(c) for c in CMP_COLS])
 
 
 @query(f"""WITH {SC}, k AS (SELECT unnest(['same_topic_generic_ai_near_miss', 'attempted_lookalike']) AS control_type), g AS (SELECT ctrl, count(*) AS n, count(*) FILTER (score >= 0) AS fp FROM sc WHERE model = 'residual_margin' AND split = 'test' GROUP BY ctrl)
@@ -451,7 +456,7 @@ TST = f"""{CANDS}, {PICK}, test AS (SELECT * FROM sc WHERE split = 'test'), {AUC
 
 def tested_models(spark, sf):
     """Scores, models compared on validation, the same models on test, and the selected one."""
-    rows = scores(spark, sf)
+    rows = kept_scores(spark, sf)
     compared = assessment.small(model.compare_models(rows))
     tested = assessment.small(model.evaluate_models(rows.where("split = 'test'"), compared))
     return rows, compared, tested, assessment.small(model.select_model(compared))
@@ -462,12 +467,18 @@ def residual_vs_raw(spark, sf):
     return assessment.residual_assessment(*tested_models(spark, sf)[1:])
 
 
-@query(f"""WITH {TST}, g AS (SELECT k, count(id) AS n, count(*) FILTER (score >= pick.th AND coalesce(t >= pick.sth, TRUE)) AS fp FROM (SELECT unnest([{quoted(CONTROL_TYPES)}]) AS k) CROSS JOIN pick LEFT JOIN test ON ctrl = k AND test.model = pick.model GROUP BY k)
- SELECT 'roc_auc' AS criterion, auc >= 0.9 AS met FROM rr UNION ALL SELECT 'balanced_accuracy', ba >= 0.85 FROM rr UNION ALL SELECT 'recall', recall >= 0.85 FROM rr UNION ALL SELECT 'false_positive_rate', fpr <= 0.15 FROM rr
+ACC = f"""{TST}, g AS (SELECT k, count(id) AS n, count(*) FILTER (score >= pick.th AND coalesce(t >= pick.sth, TRUE)) AS fp FROM (SELECT unnest([{quoted(CONTROL_TYPES)}]) AS k) CROSS JOIN pick LEFT JOIN test ON ctrl = k AND test.model = pick.model GROUP BY k),
+ acc AS (SELECT 'roc_auc' AS criterion, auc >= 0.9 AS met FROM rr UNION ALL SELECT 'balanced_accuracy', ba >= 0.85 FROM rr UNION ALL SELECT 'recall', recall >= 0.85 FROM rr UNION ALL SELECT 'false_positive_rate', fpr <= 0.15 FROM rr
  UNION ALL SELECT CASE k WHEN '{CONTROL_TYPES[0]}' THEN 'same_topic_near_miss_rejection' ELSE 'attempted_lookalike_rejection' END, n > 0 AND fp / greatest(n, 1) <= 0.15 FROM g
- UNION ALL SELECT 'residual_model_selected', selected_model LIKE 'residual%' FROM rr UNION ALL SELECT 'residual_beats_raw_baseline', residual_beats_raw FROM rr""")
+ UNION ALL SELECT 'residual_model_selected', selected_model LIKE 'residual%' FROM rr UNION ALL SELECT 'residual_beats_raw_baseline', residual_beats_raw FROM rr)"""
+
+
+@query(f"WITH {ACC} SELECT criterion, met FROM acc")
 def acceptance_criteria(spark, sf):
-    rows, compared, tested, selected = tested_models(spark, sf)
+    return accepted(*tested_models(spark, sf))
+
+
+def accepted(rows, compared, tested, selected) -> DataFrame:
     one = rows.where("split = 'test'").join(F.broadcast(selected.select("model", "threshold", "similarity_threshold")), "model")
     held_out = tested.join(F.broadcast(selected.select("model")), "model", "left_semi")
     return assessment.acceptance(held_out, metrics.gate(one, model.predicted()), assessment.residual_assessment(compared, tested, selected))
@@ -503,7 +514,7 @@ def control_corpus(spark, sf):
     return rows.groupBy("control_type").agg(F.count(F.lit(1)).alias("works"), F.sum("n").alias("blocks"))
 
 
-LOO = """pool AS (SELECT id, label, st, split, rv AS v, id % 7 AS theme FROM res WHERE st = 'target')"""
+LOO = """pool AS (SELECT id, label, st, split, rv AS v FROM res WHERE st = 'target')"""
 
 
 @query(f"""WITH {RES}, {LOO}, c AS (SELECT h.id, pos, avg(x) AS x FROM pool h JOIN (SELECT id AS oid, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM pool) o ON o.oid <> h.id GROUP BY h.id, pos), m AS (SELECT id, list(x ORDER BY pos) AS c FROM c GROUP BY id)
@@ -513,13 +524,37 @@ def leave_one_out(spark, sf):
     return model.leave_one_out(t).select("id", r6("similarity").alias("similarity"))
 
 
-@query(f"""WITH {RES}, {LOO}, c AS (SELECT h.theme, pos, avg(x) AS x FROM (SELECT DISTINCT theme FROM pool) h JOIN (SELECT theme AS ot, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM pool) o ON o.ot <> h.theme GROUP BY h.theme, pos), m AS (SELECT theme, list(x ORDER BY pos) AS c FROM c GROUP BY theme)
- SELECT theme, id, round(list_cosine_similarity(v, c), 6) AS similarity FROM pool JOIN m USING (theme)""")
+@query(f"""WITH {RES}, {PROFILE}, {LOO}, th AS (SELECT pool.*, coalesce(nullif(main_theme, ''), 'unknown') AS theme FROM pool JOIN prof ON work_id = id),
+ c AS (SELECT h.theme, pos, avg(x) AS x FROM (SELECT DISTINCT theme FROM th) h JOIN (SELECT theme AS ot, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM th) o ON o.ot <> h.theme GROUP BY h.theme, pos), m AS (SELECT theme, list(x ORDER BY pos) AS c FROM c GROUP BY theme)
+ SELECT theme, id, round(list_cosine_similarity(v, c), 6) AS similarity FROM th JOIN m USING (theme)""")
 def leave_topic_out(spark, sf):
-    t = with_residuals(spark, sf).where("set = 'target'").select("id", F.col("residual").alias("vector"), (F.col("id") % 7).alias("theme"))
+    """The theme of a vector is the main theme of the document with its number."""
+    t = with_residuals(spark, sf).where("set = 'target'").select("id", F.col("residual").alias("vector"))
+    docs = works(spark, sf).join(t.select("id"), "id", "left_semi")
+    theme = F.coalesce(F.nullif("main_theme", F.lit("")), F.lit("unknown"))
+    t = t.join(topics.topic_profiles(docs).select(F.col("work_id").alias("id"), theme.alias("theme")), "id")
     return model.leave_one_out(t, "theme").select(F.col("group").alias("theme"), "id", r6("similarity").alias("similarity"))
 
 
+@query(f"""WITH {EMB} SELECT count(*) AS works, count(*) FILTER (st = 'target') AS target_count, count(*) FILTER (st = 'background') AS background_count, count(*) FILTER (st = 'background' AND ctrl <> 'generic') AS synthetic_background_count,
+  count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'validation') AS validation_count, count(*) FILTER (split = 'test') AS test_count FROM es""")
+def dataset_summary(spark, sf):
+    return model.dataset_summary(vectors(spark, sf).withColumn("control_type", F.nullif("control_type", F.lit("generic"))))
+
+
+@query(f"""WITH {EMB}, bl AS (SELECT id // 6 AS work_id, ['verse', 'chorus', 'bridge', 'intro'][id % 4 + 1] AS type, id % 6 AS index, CASE WHEN (id // 6) % 2 = 0 THEN 'target' ELSE 'background' END AS st, v FROM emb),
+ cc AS (SELECT st, type, pos, avg(x) AS x FROM (SELECT st, type, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM bl) GROUP BY ALL), c AS (SELECT st, type, list(x ORDER BY pos) AS c FROM cc GROUP BY ALL),
+ f AS (SELECT work_id, type, arg_min(v, index) AS v FROM bl WHERE type <> 'intro' GROUP BY ALL)
+ SELECT work_id, type, round(list_cosine_similarity(v, t.c), 6) AS target_similarity, round(coalesce(list_cosine_similarity(v, b.c), 0), 6) AS background_similarity FROM f JOIN c t USING (type) LEFT JOIN c b ON b.type = f.type AND b.st = 'background' WHERE t.st = 'target'""")
+def section_scores(spark, sf):
+    """Six vectors are the blocks of a work; of a type that it has twice, the first counts."""
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("verse", "chorus", "bridge", "intro")]), (F.col("id") % 4 + 1).cast("int"))
+    rows = vectors(spark, sf).select(F.col("id").alias("owner_id"), F.floor(F.col("id") / 6).alias("work_id"), kinds.alias("block_type"), (F.col("id") % 6).alias("index"), "vector")
+    rows = rows.withColumn("set", F.when(F.col("work_id") % 2 == 0, "target").otherwise("background"))
+    out = model.section_scores(rows.drop("index"), rows.select(F.col("owner_id").alias("id"), "index"), vx.centroids(rows, ["set", "block_type"]), ("verse", "chorus", "bridge"))
+    return out.select("work_id", "type", r6("target_similarity").alias("target_similarity"), r6("background_similarity").alias("background_similarity"))
+
+
 @query(f"""WITH {SIM}, s AS (SELECT st, id, t FROM sims WHERE kind = 'raw'), r AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY t, id) AS i, count(*) OVER (PARTITION BY st) AS n FROM s)
  SELECT st AS "set", count(*) AS count, round(avg(t), 6) AS mean_similarity, round(max(CASE WHEN i = n // 2 + 1 THEN t END), 6) AS median_similarity FROM r GROUP BY st""")
 def similarity_summary(spark, sf):
@@ -527,26 +562,6 @@ def similarity_summary(spark, sf):
     return metrics.similarity_summary(rows, ["set"]).select("set", "count", r6("mean_similarity").alias("mean_similarity"), r6("median_similarity").alias("median_similarity"))
 
 
-@query(f"""WITH {SC}, nb AS (SELECT e.kind, e.id, max(list_cosine_similarity(e.vec, p.vec)) AS s FROM vecs e JOIN vecs p ON p.kind = e.kind AND p.st = 'target' AND p.split = 'train' AND p.id <> e.id GROUP BY ALL)
- SELECT model, id, round(score, 6) AS score, floor((score + 1) / 2 * 100 + 0.5)::BIGINT AS overall_style_score, score >= 0.05 AS accepted, CASE WHEN s >= 0.92 THEN 'high' WHEN s >= 0.84 THEN 'moderate' ELSE 'low' END AS overfit_risk
- FROM sc JOIN nb USING (kind, id) WHERE split = 'test' AND model = 'residual_near_miss_contrast_strict'""")
-def candidate_decision(spark, sf):
-    v = both_kinds(spark, sf).where("kind = 'residual'")
-    sims = model.centroid_similarities(v).where("split = 'test'")
-    near = model.nearest_targets(sims, v.where("set = 'target' and split = 'train'"))
-    rows = model.model_scores(sims).where("model = 'residual_near_miss_contrast_strict'").join(near.select("id", "similarity"), "id")
-    return rows.select("model", "id", r6("score").alias("score"), model.overall_style_score(F.col("score")).alias("overall_style_score"), (F.col("score") >= 0.05).alias("accepted"), metrics.overfit_risk(F.col("similarity")).alias("overfit_risk"))
-
-
-@query("""WITH p AS (SELECT conv_id AS work_id, list(DISTINCT role) AS roles, max(length(text)) AS most FROM conversations GROUP BY conv_id)
- SELECT work_id, array_to_string(list_filter([CASE WHEN NOT list_contains(roles, 'user') THEN 'No user section found.' END, CASE WHEN NOT list_contains(roles, 'system') THEN 'No system section found.' END,
-  CASE WHEN most > 500 THEN 'High nearest-neighbor similarity; inspect for memorization or close imitation.' END], lambda x: x IS NOT NULL), '|') AS warnings FROM p""")
-def candidate_warnings(spark, sf):
-    p = turns(spark, sf).groupBy("work_id").agg(F.collect_set("type").alias("roles"), F.max(F.length("text")).alias("most"))
-    w = model.warnings(F.col("roles"), ("user", "system"), F.when(F.col("most") > 500, "high").otherwise("low"), F.lit(True), F.lit(True))
-    return p.select("work_id", F.array_join(w, "|").alias("warnings"))
-
-
 # --- leakage --------------------------------------------------------------------------------------------------------
 
 LTOK = "regexp_extract_all(lower({0}), '[a-z0-9'']+')"
@@ -576,7 +591,7 @@ def leak_phrases(spark, sf):
     return leakage.shared_phrases(*_leak(spark, sf))
 
 
-@query(f"WITH {RUNS} SELECT id, run FROM rn WHERE run >= 6")
+@query(f"WITH {RUNS} SELECT doc_id AS id, coalesce(run, 0) AS run FROM documents LEFT JOIN rn ON id = doc_id")
 def leak_longest_run(spark, sf):
     return leakage.longest_runs(*_leak(spark, sf))
 
@@ -587,16 +602,41 @@ def leak_verdict(spark, sf):
     return leakage.verdicts(*_leak(spark, sf))
 
 
+@query(f"""WITH {ACC}, {PHRASES}, {RUNS}, hl AS (SELECT bool_and(met) AS meets, bool_and(met) FILTER (criterion = 'same_topic_near_miss_rejection') AS near, bool_and(met) FILTER (criterion = 'residual_beats_raw_baseline') AS beats FROM acc),
+ own AS (SELECT id, t, t - b AS margin FROM sims WHERE kind = 'residual' AND split = 'test'), nbr AS (SELECT e.id, max(list_cosine_similarity(e.vec, p.vec)) AS s FROM vecs e JOIN vecs p ON e.kind = 'residual' AND p.kind = 'residual' AND e.split = 'test' AND p.st = 'target' AND p.id <> e.id GROUP BY e.id),
+ lk AS (SELECT d.doc_id AS id, coalesce(e.n, 0) AS ln, coalesce(p.n, 0) AS pn, r.run FROM documents d LEFT JOIN (SELECT id, count(*) AS n FROM ex GROUP BY id) e ON e.id = d.doc_id LEFT JOIN (SELECT id, count(*) AS n FROM ph GROUP BY id) p ON p.id = d.doc_id LEFT JOIN (SELECT * FROM rn WHERE run >= 6) r ON r.id = d.doc_id),
+ rl AS (SELECT conv_id AS id, list(DISTINCT role) AS roles FROM conversations GROUP BY conv_id),
+ j AS (SELECT s.id, s.model, s.score, p.th, p.sth, o.t, o.margin, n.s, l.ln, l.pn, l.run, l.ln = 0 AND l.pn = 0 AND l.run IS NULL AS ok, coalesce(rl.roles, []) AS roles, hl.* FROM sc s JOIN pick p ON p.model = s.model JOIN own o USING (id) JOIN nbr n USING (id) JOIN lk l USING (id) LEFT JOIN rl USING (id) CROSS JOIN hl WHERE s.split = 'test')
+ SELECT id, model, round(score, 6) AS score, round(th, 6) AS threshold, round(margin, 6) AS style_margin, floor((margin + 1) / 2 * 100 + 0.5)::BIGINT AS overall_style_score, CASE WHEN s >= 0.92 THEN 'high' WHEN s >= 0.84 THEN 'moderate' ELSE 'low' END AS overfit_risk,
+  ln AS line_matches, pn AS phrase_matches, run AS long_run, ok AND score >= th AND (model NOT LIKE '%dual_gate' OR coalesce(t >= sth, FALSE)) AS target_style,
+  array_to_string(list_filter([CASE WHEN NOT meets THEN {quoted([candidates.FAILED_MODEL])} END, CASE WHEN NOT near THEN {quoted([candidates.TOPIC_MODEL])} END, CASE WHEN NOT beats THEN {quoted([candidates.RAW_MODEL])} END,
+   CASE WHEN NOT list_contains(roles, 'user') THEN {quoted([candidates.NO_SECTION.format("user")])} END, CASE WHEN NOT list_contains(roles, 'system') THEN {quoted([candidates.NO_SECTION.format("system")])} END, CASE WHEN s >= 0.92 THEN {quoted([candidates.CLOSE])} END, CASE WHEN NOT ok THEN {quoted([candidates.LEAK])} END], lambda x: x IS NOT NULL), '|') AS warnings FROM j""")
+def candidate_decision(spark, sf):
+    """Vectors of the test split as candidates: the text is the document's of that number, the protected texts are the
+    benchmark's, the sections the roles of the conversation of that number; model and health are those of the run."""
+    v = both_kinds(spark, sf)
+    run = tested_models(spark, sf)
+    met = {r.criterion: r.met for r in accepted(*run).collect()}  # eight criteria
+    health = {k: F.lit(v) for k, v in (met | {"meets": all(met.values())}).items()}
+    wide = model.train_centroids(v)
+    scored = candidates.score(v.where("split = 'test'"), wide, run[3], v.where("kind = 'residual' and set = 'target'").select("id", "vector"))
+    docs, targets = _leak(spark, sf)
+    texts = docs.join(v.where("split = 'test'").select("id").distinct(), "id", "left_semi")
+    present = turns(spark, sf).groupBy(F.col("work_id").alias("id")).agg(F.collect_set("type").alias("types"))
+    out = candidates.judge(scored, texts, targets, present, ("user", "system"), F.lit(True), health)
+    return out.select("id", "model", *[r6(c).alias(c) for c in ("score", "threshold", "style_margin")], "overall_style_score", "overfit_risk", "line_matches", "phrase_matches", "long_run", "target_style", F.array_join("warnings", "|").alias("warnings"))
+
+
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT row_number() OVER (ORDER BY p_partkey) AS n, trim(p_name) AS title, trim(p_brand) AS author, trim(p_type) AS text FROM part WHERE lower(trim(p_brand)) <> 'brand#11' AND trim(p_type) <> '' QUALIFY n <= 500""")
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) AS n, trim(p_name) AS title, trim(p_brand) AS author, trim(p_type) AS text FROM part WHERE lower(trim(p_brand)) <> 'brand#11' AND trim(p_type) <> ''""")
 def dataset_import(spark, sf):
-    return readers.import_dataset(table(spark, sf, "part"), "p_partkey", "p_type", "p_name", "p_brand", exclude="Brand#11", limit=500).withColumn("n", F.col("n").cast("long"))
+    return readers.import_dataset(table(spark, sf, "part"), "p_partkey", "p_type", "p_name", "p_brand", exclude="Brand#11").withColumn("n", F.col("n").cast("long"))
 
 
 @query("""WITH c AS (SELECT lang AS experiment_id, count(*) FILTER (source IN ('src0', 'src1')) AS t, count(*) FILTER (source NOT IN ('src0', 'src1')) AS b FROM documents GROUP BY lang)
- SELECT experiment_id, t AS target_works, b AS background_works, t >= 12 AND b >= 50 AS ready, CASE WHEN t < 12 THEN 'Target corpus has ' || t || ' works; need at least 12.' ELSE '' END || CASE WHEN t < 12 AND b < 50 THEN '|' ELSE '' END || CASE WHEN b < 50 THEN 'Background corpus has ' || b || ' works; need at least 50.' ELSE '' END AS blockers FROM c""")
+ SELECT experiment_id, t AS target_works, b AS background_works, t >= 12 AND b >= 50 AS ready, CASE WHEN t < 12 THEN 'The target corpus has ' || t || ' works, 12 are needed.' ELSE '' END || CASE WHEN t < 12 AND b < 50 THEN '|' ELSE '' END || CASE WHEN b < 50 THEN 'The background corpus has ' || b || ' works, 50 are needed.' ELSE '' END AS blockers FROM c""")
 def corpus_readiness(spark, sf):
     target = F.col("source").isin("src0", "src1")
     c = table(spark, sf, "documents").groupBy(F.col("lang").alias("experiment_id")).agg(F.count_if(target).alias("target_works"), F.count_if(~target).alias("background_works"))
@@ -619,6 +659,76 @@ def upsert_by_key(spark, sf):
     return readers.upsert(old, part("purchase"), ["user_id"], "event_id").withColumn("value", r6("value"))
 
 
+WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+BLOCKS = f"""w AS (SELECT 'work_' || substr(sha256('corpus/' || doc_id || '.txt#0:corpus'), 1, 16) AS work_id, trim(text, {WS}) AS text FROM documents WHERE trim(coalesce(text, ''), {WS}) <> ''),
+ p AS (SELECT work_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM (SELECT work_id, regexp_split_to_array(text, '\\n\\s*\\n') AS ps FROM w)),
+ l AS (SELECT * FROM (SELECT work_id, i, generate_subscripts(ls, 1) AS pos, trim(unnest(ls), {WS}) AS t FROM (SELECT work_id, i, string_split(p, chr(10)) AS ls FROM p)) WHERE t <> ''),
+ b0 AS (SELECT work_id, i, string_agg(t, chr(10) ORDER BY pos) AS text, row_number() OVER (PARTITION BY work_id ORDER BY i) - 1 AS index FROM l GROUP BY work_id, i),
+ b AS (SELECT *, 'block_' || substr(sha256(work_id || chr(31) || index || chr(31) || 'section' || chr(31) || text), 1, 16) AS id FROM b0),
+ a0 AS (SELECT l.work_id, b.id AS block_id, row_number() OVER (PARTITION BY l.work_id ORDER BY l.i, pos) - 1 AS index_in_work, row_number() OVER (PARTITION BY l.work_id, l.i ORDER BY pos) - 1 AS index_in_block, t AS text FROM l JOIN b USING (work_id, i))"""
+
+
+def parsed(spark, sf):
+    """documents as text files of a corpus, parsed to works, blocks and atoms."""
+    files = table(spark, sf, "documents").select(F.concat(F.lit("corpus/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("value"), F.lit("background").alias("set"))
+    made = parse.parse_works(files)
+    return made, *parse.blocks_and_atoms(parse.parse_blocks(made))
+
+
+@query(f"WITH {BLOCKS} SELECT id, work_id, 'section' AS type, index, text FROM b")
+def parsed_blocks(spark, sf):
+    return parsed(spark, sf)[1].withColumn("index", F.col("index").cast("long"))
+
+
+@query(f"WITH {BLOCKS} SELECT 'atom_' || substr(sha256(block_id || chr(31) || index_in_block || chr(31) || text), 1, 16) AS id, work_id, block_id, index_in_work, index_in_block, text FROM a0")
+def parsed_atoms(spark, sf):
+    a = parsed(spark, sf)[2]
+    return a.withColumns({c: F.col(c).cast("long") for c in ("index_in_work", "index_in_block")})
+
+
+@query(f"""WITH {PROFILE}, t AS (SELECT 'work' AS owner_type, doc_id AS owner_id, 'work' AS scope, 'Document ' || doc_id || chr(10) || coalesce(text, '') AS text FROM documents
+ {" ".join(f"UNION ALL SELECT 'topic', work_id, '{f}', {f} FROM prof" for f in topics.FIELDS)} UNION ALL SELECT 'topic', work_id, 'combined_topic_profile', {" || chr(10) || ".join(topics.FIELDS)} FROM prof)
+ SELECT owner_type, owner_id, scope, sha256('m' || chr(31) || owner_type || chr(31) || owner_id || chr(31) || scope || chr(31) || text) AS text_hash FROM t""")
+def embedding_inputs(spark, sf):
+    """All texts to embed of documents without blocks, by the hash that caching goes by."""
+    none = spark.createDataFrame([], "id long, text string")
+    rows = embed.embedding_inputs(works(spark, sf), none, none, topics.topic_profiles(works(spark, sf)))
+    return rows.select("owner_type", "owner_id", "scope", tx.content_hash(F.lit("m"), F.col("owner_type"), F.col("owner_id"), F.col("scope"), F.col("text")).alias("text_hash"))
+
+
+@query("""SELECT doc_id::VARCHAR AS root, doc_id % 5 <> 0 AS present, doc_id % 5 = 1 AS valid, CASE doc_id % 5 WHEN 1 THEN 'licensed' WHEN 2 THEN 'other' WHEN 4 THEN 'licensed' END AS source_type, CASE WHEN doc_id % 5 IN (1, 2) THEN 2 END::INT AS work_count,
+ CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 1 END::INT AS issues FROM labels""")
+def manifest_rules(spark, sf):
+    """A manifest for each label: none, valid, of an unknown source, broken, without an array of works."""
+    texts = ['{"sourceType": "licensed", "works": [{}, {}]}', '{"sourceType": "other", "works": [{}, {}]}', "{oops", '{"sourceType": "licensed", "works": 3}']
+    value = F.get(F.array(*[F.lit(x) for x in texts]), (F.col("doc_id") % 5 - 1).cast("int"))
+    rows = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("root"), F.when(F.col("doc_id") % 5 > 0, value).alias("value"))
+    return readers.manifest_status(rows).withColumn("issues", F.size("issues"))
+
+
+@query(f"""WITH {EMB}, {HN.format(on='')}, k AS (SELECT id FROM emb WHERE st = 'target' UNION SELECT background_id FROM rk)
+ SELECT 'works' AS "table", (SELECT count(*) FROM k) AS rows UNION ALL SELECT 'splits', (SELECT count(*) FROM k) UNION ALL SELECT 'blocks', (SELECT count(*) FROM conversations WHERE conv_id IN (SELECT id FROM k))
+ UNION ALL SELECT 'atoms', (SELECT count(*) FROM labels WHERE doc_id IN (SELECT id FROM k)) UNION ALL SELECT 'topics', (SELECT count(*) FROM documents WHERE doc_id IN (SELECT id FROM k))
+ UNION ALL SELECT 'embeddings', (SELECT count(*) FROM k) + (SELECT count(*) FROM conversations WHERE conv_id IN (SELECT id FROM k)) + (SELECT count(*) FROM labels WHERE doc_id IN (SELECT id FROM k)) + (SELECT count(*) FROM documents WHERE doc_id IN (SELECT id FROM k))""")
+def mined_tables(spark, sf):
+    """Rows of each table behind the mining stage: turns are blocks, labels atoms, documents topics of the vectors' works."""
+    v = vectors(spark, sf)
+    made = v.select("id", "set")
+    blocks = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("work_id"))
+    atoms = table(spark, sf, "labels").select(F.concat(F.lit("a"), "doc_id").alias("id"), F.col("doc_id").alias("work_id"))
+    profiles = table(spark, sf, "documents").select(F.col("doc_id").alias("work_id"))
+    some = F.array(F.lit(1.0))
+    owned = lambda df, kind, key, vector: df.select(F.lit(kind).alias("owner_type"), F.col(key).cast("string").alias("owner_id"), F.lit(kind).alias("scope"), vector.alias("vector"))
+    embedded = owned(v, "work", "id", F.col("vector")).unionByName(owned(blocks, "block", "id", some)).unionByName(owned(atoms, "atom", "id", some)).unionByName(owned(profiles, "topic", "work_id", some))
+    text = lambda df, *cols: df.withColumns({c: F.col(c).cast("string") for c in cols})
+    out = mining.mine(text(made, "id"), text(blocks, "work_id"), text(atoms, "work_id"), text(profiles, "work_id"), text(v.select("id", "split"), "id"), embedded, mining.Mining())
+    rows = None
+    for name in ("works", "splits", "blocks", "atoms", "topics", "embeddings"):
+        part = out[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def flagship(spark, sf) -> DataFrame:
     """documents to topics, hash embeddings, residuals, centroids, and scored works with their nearest target."""
     w = split.assign_splits(works(spark, sf), ["set"])
