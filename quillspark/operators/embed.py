@@ -14,29 +14,36 @@ from .topics import FIELDS, topic_text
 
 
 def _byte(h: Column, at: int) -> Column:
-    return F.conv(F.substring(h, at, 2), 16, 10).cast("int")
+    """The byte that two hex digits of a hash stand for."""
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
+    return digit(at) * 16 + digit(at + 1)
 
 
-def hash_cells(text: Column) -> Column:
-    """The text's cells, an array of struct(b, x): a bucket and a signed weight for each word and character 3-gram."""
-    cell = lambda h, x: F.struct((_byte(h, 1) % DIMENSIONS).alias("b"), F.when(_byte(h, 3) % 2 == 0, x).otherwise(-x).alias("x"))
-    tokens = F.transform(words(text), lambda w: let(F.sha2(w, 256), lambda h: cell(h, 1 + F.least(F.length(w), F.lit(12)) / 12)))
+def hash_units(text: Column) -> Column:
+    """The text's words, marked w, its character 3-grams, marked g, and one empty string."""
+    marked = F.transform(words(text), lambda w: F.concat(F.lit("w"), w))
     # characters are taken apart once: a substring by place would walk the text from its start for each gram
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    three = let(chars, lambda cs: F.zip_with(F.zip_with(cs, F.slice(cs, 2, F.greatest(F.size(cs), F.lit(1))), lambda a, b: F.concat(a, b)), F.slice(cs, 3, F.greatest(F.size(cs), F.lit(1))), lambda ab, c: F.concat(ab, c)))
-    grams = F.transform(F.filter(three, lambda g: g.isNotNull()), lambda g: let(F.sha1(g), lambda h: cell(h, F.lit(0.15))))
-    return F.concat(tokens, grams)
+    rest = lambda cs, n: F.slice(cs, n, F.greatest(F.size(cs), F.lit(1)))
+    three = let(chars, lambda cs: F.zip_with(F.zip_with(cs, rest(cs, 2), lambda a, b: F.concat(F.lit("g"), a, b)), rest(cs, 3), lambda ab, c: F.concat(ab, c)))
+    return F.concat(F.array(F.lit("")), marked, F.filter(three, lambda g: g.isNotNull()))
 
 
 def hash_embedding(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, vector) for each distinct key and text of df; a text without tokens or grams has the zero vector.
-
-    A text's cells are summed where they arise, into one row of DIMENSIONS sums: that is all that is shuffled."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    none = F.struct(F.lit(-1).alias("b"), F.lit(0.0).alias("x"))
-    cells = df.select(F.col(key), F.xxhash64(text).alias("_h"), F.explode(F.concat(F.array(none), hash_cells(low))).alias("_c")).select(key, "_h", "_c.b", "_c.x")
-    sums = [F.sum(F.when(F.col("b") == i, F.col("x")).otherwise(0.0)).alias(f"_{i}") for i in range(DIMENSIONS)]
-    return cells.groupBy(key, "_h").agg(*sums).select(key, normalize(F.array(*[F.col(f"_{i}") for i in range(DIMENSIONS)])).alias("vector"))
+    """(key, vector) for each distinct key and text of df; a text without words or grams has the zero vector.
+
+    A text's units are hashed and summed by bucket where they arise: at most DIMENSIONS + 1 sums of it are shuffled."""
+    units = df.select(F.col(key), F.xxhash64(text).alias("_h"), F.explode(hash_units(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_u"))
+    word, value = F.col("_u").startswith("w"), F.substring("_u", 2, 1 << 30)
+    digest = F.when(word, F.sha2(value, 256)).otherwise(F.sha1(value))
+    weight = F.when(word, 1 + F.least(F.length(value), F.lit(12)) / 12).otherwise(F.when(F.col("_u") == "", 0.0).otherwise(0.15))
+    cells = units.select(key, "_h", digest.alias("_d"), weight.alias("_w"), F.col("_u"))
+    bucket = F.when(F.col("_u") == "", -1).otherwise(_byte(F.col("_d"), 1) % DIMENSIONS)
+    cells = cells.select(key, "_h", bucket.alias("_b"), F.when(_byte(F.col("_d"), 3) % 2 == 0, F.col("_w")).otherwise(-F.col("_w")).alias("_x"))
+    sums = cells.groupBy(key, "_h", "_b").agg(F.sum("_x").alias("_x"))
+    sums = sums.groupBy(key, "_h").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    return sums.select(key, normalize(dense).alias("vector"))
 
 
 PROVIDERS: dict[str, tuple[str, Callable[[DataFrame, str, str], DataFrame]]] = {"hash": ("local-hash-embedding-v1", hash_embedding)}

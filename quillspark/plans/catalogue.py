@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Texts that one file holds (small tables) in as many parts as there are cores; larger tables have enough as read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def r6(c) -> F.Column:
     return F.round(c, 6)
 
@@ -44,7 +50,7 @@ def quoted(words) -> str:
 def works(spark, sf) -> DataFrame:
     """documents as works: four sources are the target set, the language is the control type."""
     target = F.col("source").isin("src0", "src1", "src2", "src3")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.when(target, "target").otherwise("background").alias("set"), "lang", "source")
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.when(target, "target").otherwise("background").alias("set"), "lang", "source")
 
 
 def turns(spark, sf) -> DataFrame:
@@ -578,7 +584,7 @@ RUNS = f"""cw AS (SELECT id, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FR
 
 
 def _leak(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), "text")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")), table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), "text")
 
 
 @query(f"WITH {EXACT} SELECT * FROM ex")
