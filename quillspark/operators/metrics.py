@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ACCEPTANCE, CONTROL_TYPES, GATE_MAX_FPR, RISK_HIGH, RISK_MODERATE
+from .ranks import prefix_sums
 
 
 def ratios(tp: Column, fp: Column, p: Column, n: Column) -> dict[str, Column]:
@@ -25,11 +26,10 @@ def ratios(tp: Column, fp: Column, p: Column, n: Column) -> dict[str, Column]:
 def roc_auc(df: DataFrame, keys: list[str], score: str = "score", actual: str = "actual") -> DataFrame:
     """(keys, roc_auc): the Mann-Whitney statistic over tie groups; 0.5 if a class is missing.
 
-    Equal scores are counted first, so what is ranked is one row for each distinct score."""
+    Equal scores are counted first, so what is ranked, in parts, is one row for each distinct score."""
     ties = df.groupBy(*keys, score).agg(F.count_if(actual).alias("_p"), F.count_if(~F.col(actual)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    below = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = ties.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2)).groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    below = F.col("_n_upto") - F.col("_n")
+    wins = prefix_sums(ties, keys, score, ["_n"]).withColumn("_w", F.col("_p") * (below + F.col("_n") / 2)).groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     return wins.select(*keys, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / F.greatest(F.lit(1), F.col("_p") * F.col("_n"))).otherwise(0.5).alias("roc_auc"))
 
 
@@ -65,9 +65,14 @@ def overfit_risk(similarity: Column) -> Column:
 
 
 def similarity_summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, mean, upper median and lowest five of df (keys, similarity)."""
-    n = F.count(F.lit(1))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy("similarity", "id"))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = df.withColumns({"_i": at, "_n": size})
-    return rows.groupBy(*keys).agg(n.alias("count"), F.avg("similarity").alias("mean_similarity"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col("similarity"))).alias("median_similarity"), F.sort_array(F.collect_list(F.when(F.col("_i") <= 5, F.struct("similarity", "id")))).alias("lowest"))
+    """Count, mean, upper median and lowest five of df (keys, similarity, id).
+
+    The median comes from counts of equal similarities, ranked in parts; of the lowest, each task passes on five."""
+    lowest = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("similarity", "id"))).where("_r <= 5")
+    lowest = lowest.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("similarity", "id"))).alias("lowest"))
+    ties = prefix_sums(df.groupBy(*keys, "similarity").agg(F.count(F.lit(1)).alias("_c")), keys, "similarity", ["_c"])
+    middle = F.floor(F.col("_c_all") / 2) + 1
+    at = F.when((F.col("_c_upto") >= middle) & (F.col("_c_upto") - F.col("_c") < middle), F.col("similarity"))
+    rows = ties.groupBy(*keys).agg(F.sum("_c").alias("count"), (F.sum(F.col("similarity") * F.col("_c")) / F.sum(F.when(F.col("similarity").isNotNull(), F.col("_c")))).alias("mean_similarity"), F.max(at).alias("median_similarity"))
+    named = lowest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "lowest")
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] or F.lit(True)).select(*keys, "count", "mean_similarity", "median_similarity", "lowest")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONTROL_TYPES, MODELS, STRICT_FLOOR, THRESHOLD_PAD
 from ..functions.vector import centroids, cosine
 from .metrics import accepted, evaluate, ratios, roc_auc
+from .ranks import prefix_sums
 
 
 def train_centroids(vectors: DataFrame) -> DataFrame:
@@ -61,10 +62,10 @@ def model_scores(sims: DataFrame) -> DataFrame:
 
 
 def threshold_candidates(scores: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
-    """(keys, threshold, tp, fp, p, n): all candidate thresholds with their counts, by one pass of prefix sums."""
-    ties = scores.groupBy(*keys, F.col(value).alias("_v")).agg(F.count_if("actual").alias("_p"), F.count_if(~F.col("actual")).alias("_n"))
-    w, all_ = Window.partitionBy(*keys).orderBy("_v"), Window.partitionBy(*keys)
-    rows = ties.withColumns({"p": F.sum("_p").over(all_), "n": F.sum("_n").over(all_), "_cp": F.sum("_p").over(w), "_cn": F.sum("_n").over(w), "_next": F.lead("_v").over(w), "_first": F.row_number().over(w) == 1})
+    """(keys, threshold, tp, fp, p, n): all candidate thresholds with their counts, by one pass of prefix sums in parts."""
+    ties = scores.groupBy(*keys, F.col(value).alias("_v")).agg(F.count_if("actual").alias("_p"), F.count_if(~F.col("actual")).alias("_n"), F.lit(1).cast("long").alias("_k"))
+    rows = prefix_sums(ties, keys, "_v", ["_p", "_n", "_k"])
+    rows = rows.withColumns({"p": F.col("_p_all"), "n": F.col("_n_all"), "_cp": F.col("_p_upto"), "_cn": F.col("_n_upto"), "_first": F.col("_k_upto") == 1})
     above = F.struct(F.coalesce((F.col("_v") + F.col("_next")) / 2, F.col("_v") + THRESHOLD_PAD).alias("threshold"), (F.col("p") - F.col("_cp")).alias("tp"), (F.col("n") - F.col("_cn")).alias("fp"))
     first = F.when(F.col("_first"), F.struct((F.col("_v") - THRESHOLD_PAD).alias("threshold"), F.col("p").alias("tp"), F.col("n").alias("fp")))
     out = rows.select(*keys, "p", "n", F.explode(F.filter(F.array(first, above), lambda x: x.isNotNull())).alias("c"))
@@ -83,7 +84,8 @@ def _order(*more: Column) -> list[Column]:
 def choose_threshold(scores: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, threshold): the best candidate; of equals the lowest."""
     rows = measured(threshold_candidates(scores, keys), scores, keys)
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(F.asc("threshold"))))).where("_r = 1").select(*keys, "threshold")
+    rank = F.struct(-F.round("balanced_accuracy", 12), -F.round("roc_auc", 12), F.round("false_positive_rate", 12), -F.round("recall", 12), "threshold")
+    return rows.groupBy(*keys).agg(F.min_by("threshold", rank).alias("threshold"))
 
 
 def choose_strict_threshold(scores: DataFrame, keys: list[str], floor: float = STRICT_FLOOR) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import MODELS
 from quillspark.functions import vector as vx
-from quillspark.operators import metrics, model, residual, split
+from quillspark.operators import metrics, model, ranks, residual, split
 
 
 def one(spark, *cols):
@@ -96,5 +96,32 @@ def test_thresholds_against_brute_force(spark):
     assert [(r.threshold, r.similarity_threshold) for r in model.choose_dual_gate(df, ["model"], True).collect()] == [(0.0, 0.0)]
 
 
+def test_prefix_sums_in_parts(spark):
+    """Values within a part, over parts, outside the range, null and not a number, against one ordered list."""
+    rng = np.random.default_rng(8)
+    values = [None, float("nan"), *sorted({*rng.normal(0, 0.3, 60).tolist(), *(0.1 + 1e-9 * i for i in range(9)), -7.5, -2.0, 2.0, 9.25, 9.5})]
+    rows = [(k, v, int(rng.integers(0, 5))) for k in ("a", None) for v in values]
+    place = lambda v: (v is not None, v is not None and v != v, 0.0 if v is None or v != v else v)
+    got = {(r.k, str(r.v)): r for r in ranks.prefix_sums(spark.createDataFrame(rows, "k string, v double, c long").repartition(5), ["k"], "v", ["c"]).collect()}
+    assert len(got) == len(rows)
+    for k in ("a", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: place(r[1]))
+        for i, (_, v, c) in enumerate(mine):
+            r = got[k, str(v)]
+            assert (r.c, r.c_upto, r.c_all) == (c, sum(x[2] for x in mine[: i + 1]), sum(x[2] for x in mine))
+            assert str(r["_next"]) == str(mine[i + 1][1] if i + 1 < len(mine) else None)
+
+
+def test_similarity_summary(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(rng.integers(-3, 9)) / 10) for k, n in (("a", 41), ("b", 12), ("c", 1)) for i in range(n)]
+    got = {r.k: r for r in metrics.similarity_summary(spark.createDataFrame(rows, "k string, id long, similarity double"), ["k"]).collect()}
+    for k, r in got.items():
+        mine = sorted((s, i) for x, i, s in rows if x == k)
+        assert (r["count"], r.median_similarity, [tuple(x) for x in r.lowest]) == (len(mine), mine[len(mine) // 2][0], mine[:5])
+        assert abs(r.mean_similarity - np.mean([s for s, _ in mine])) < 1e-12
+    assert len(got) == 3
+
+
 def test_model_ids():
     assert MODELS[0] == "residual_margin" and MODELS[-1] == "raw_target_similarity" and len(MODELS) == 8
