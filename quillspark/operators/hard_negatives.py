@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import centroids, cosine
+from .search import nearest
 
 PARTS = 64
 
 
 def per_target(targets: DataFrame, backgrounds: DataFrame, k: int = 5, split_aware: bool = False) -> DataFrame:
     """(target_id, background_id, split, similarity, rank) of targets and backgrounds (id, split, vector)."""
-    t = targets.select(F.col("id").alias("target_id"), F.coalesce("split", F.lit("unsplit")).alias("split"), F.col("vector").alias("_t"))
-    b = backgrounds.select(F.col("id").alias("background_id"), F.col("split").alias("_s"), F.col("vector").alias("_b"))
-    on = (F.col("split") == F.col("_s")) | (F.col("split") == "unsplit") if split_aware else F.lit(True)
-    pairs = t.join(b, on).select("target_id", "background_id", "split", cosine(F.col("_t"), F.col("_b")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("similarity"), "background_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    split = F.coalesce("split", F.lit("unsplit"))
+    t = targets.select((split if split_aware else F.lit("")).alias("part"), "id", "vector")
+    # targets without a split meet the backgrounds of all splits
+    parts = F.filter(F.array_distinct(F.array("split", F.lit("unsplit"))), lambda x: x.isNotNull()) if split_aware else F.array(F.lit(""))
+    b = backgrounds.select(F.explode(parts).alias("part"), "id", "vector")
+    found = nearest(t, b, k).select(F.col("id").alias("target_id"), F.col("neighbour").alias("background_id"), "similarity", "rank")
+    return found.join(targets.select(F.col("id").alias("target_id"), split.alias("split")), "target_id").select("target_id", "background_id", "split", "similarity", "rank")
 
 
 def by_centroid(targets: DataFrame, backgrounds: DataFrame, k: int = 5, split_aware: bool = False) -> DataFrame:

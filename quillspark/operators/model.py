@@ -9,6 +9,7 @@ from ..config import CONTROL_TYPES, MODELS, STRICT_FLOOR, THRESHOLD_PAD
 from ..functions.vector import centroids, cosine
 from .metrics import accepted, evaluate, ratios, roc_auc
 from .ranks import prefix_sums
+from .search import nearest
 
 
 def train_centroids(vectors: DataFrame) -> DataFrame:
@@ -35,21 +36,9 @@ def centroid_similarities(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_targets(vectors: DataFrame, pool: DataFrame, k: int = 1, drop_self: bool = True) -> DataFrame:
-    """(kind, id, neighbour, similarity, rank): the k most similar of pool for each row, ties by id.
-
-    The pool is the train targets, a small part of a corpus; each row meets all of them. For k = 1 the best is kept
-    by a map-side aggregate, so pairs aren't shuffled."""
-    left = vectors.select("kind", "id", "vector")
-    right = pool.select(F.col("kind"), F.col("id").alias("neighbour"), F.col("vector").alias("_v"))
-    pairs = left.join(right, "kind")
-    if drop_self:
-        pairs = pairs.where("id <> neighbour")
-    pairs = pairs.select("kind", "id", "neighbour", cosine(F.col("vector"), F.col("_v")).alias("similarity"))
-    if k == 1:
-        best = pairs.groupBy("kind", "id").agg(F.min_by(F.struct("neighbour", "similarity"), F.struct(-F.col("similarity"), "neighbour")).alias("_b"))
-        return best.select("kind", "id", "_b.neighbour", "_b.similarity", F.lit(1).alias("rank"))
-    rank = F.row_number().over(Window.partitionBy("kind", "id").orderBy(F.desc("similarity"), "neighbour"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(kind, id, neighbour, similarity, rank): the k most similar of pool for each row, ties by id: see search."""
+    of = lambda df: df.select(F.col("kind").alias("part"), "id", "vector")
+    return nearest(of(vectors), of(pool), k, drop_self).withColumnRenamed("part", "kind")
 
 
 def model_scores(sims: DataFrame) -> DataFrame:

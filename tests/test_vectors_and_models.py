@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import MODELS
 from quillspark.functions import vector as vx
-from quillspark.operators import metrics, model, ranks, residual, split
+from quillspark.operators import metrics, model, ranks, residual, search, split
 
 
 def one(spark, *cols):
@@ -123,5 +123,32 @@ def test_similarity_summary(spark):
     assert len(got) == 3
 
 
+def test_nearest_against_brute_force(spark, monkeypatch):
+    """Several blocks on both sides, copies that tie, zero and missing vectors, own rows dropped or not."""
+    monkeypatch.setattr(search, "POOL_BLOCK", 16)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(6)
+    made = rng.normal(size=(50, 7))
+    made[20:35] = made[20]
+    rows = [(p, f"{p}{i:02d}", None if i == 48 else [] if i == 47 else [0.0] * 7 if i == 49 else made[i].tolist()) for p in "xy" for i in range(50)]
+    df = spark.createDataFrame(rows, "part string, id string, vector array<double>").repartition(3)
+
+    def cos(a, b):
+        return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) if a and b and any(a) and any(b) else 0.0
+
+    for drop, pool in ((True, rows), (False, [r for r in rows if r[0] == "x" and int(r[1][1:]) % 3 == 0])):
+        some = df.join(spark.createDataFrame([(r[1],) for r in pool], "id string"), "id", "left_semi")
+        got: dict = {}
+        for r in search.nearest(df, some, 4, drop).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.neighbour, r.similarity))
+        for p, i, v in rows:
+            want = sorted((-round(cos(v, w), 9), j) for q, j, w in pool if q == p and not (drop and i == j))[:4]
+            mine = sorted(got.get(i, []))
+            assert [(n, -round(s, 9)) for _, n, s in mine] == [(j, s) for s, j in want] and [r for r, *_ in mine] == list(range(1, len(want) + 1))
+    assert search.nearest(df, df.limit(0), 2).collect() == [] and search.nearest(df.limit(0), df, 2).collect() == []
+    with pytest.raises(Exception, match="differ in length"):
+        search.nearest(df, spark.createDataFrame([("x", "z", [1.0])], df.schema), 1).collect()
+
+
 def test_model_ids():
     assert MODELS[0] == "residual_margin" and MODELS[-1] == "raw_target_similarity" and len(MODELS) == 8
