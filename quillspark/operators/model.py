@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CONTROL_TYPES, MODELS, STRICT_FLOOR, THRESHOLD_PAD
+from ..config import ACCEPTANCE, CONTROL_TYPES, MODELS, STRICT_FLOOR, THRESHOLD_PAD
 from ..functions.vector import centroids, cosine
 from .metrics import accepted, evaluate, ratios, roc_auc
 from .ranks import prefix_sums
@@ -61,28 +61,35 @@ def threshold_candidates(scores: DataFrame, keys: list[str], value: str = "score
     return out.select(*keys, "c.threshold", "c.tp", "c.fp", "p", "n")
 
 
-def measured(candidates: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
-    rows = candidates.withColumns(ratios(F.col("tp"), F.col("fp"), F.col("p"), F.col("n")))
-    return rows.join(F.broadcast(roc_auc(scores, keys)), keys)
+def measured(candidates: DataFrame) -> DataFrame:
+    """candidates with their metrics, but for the AUC, which all candidates of a model share."""
+    return candidates.withColumns(ratios(F.col("tp"), F.col("fp"), F.col("p"), F.col("n")))
 
 
 def _order(*more: Column) -> list[Column]:
-    return [F.round("balanced_accuracy", 12).desc(), F.round("roc_auc", 12).desc(), F.round("false_positive_rate", 12).asc(), F.round("recall", 12).desc(), *more]
+    return [F.round("balanced_accuracy", 12).desc(), F.round("false_positive_rate", 12).asc(), F.round("recall", 12).desc(), *more]
+
+
+def _best() -> Column:
+    """The threshold of the best of a model's measured candidates, by the same order; of equals the lowest."""
+    rank = F.struct(-F.round("balanced_accuracy", 12), F.round("false_positive_rate", 12), -F.round("recall", 12), "threshold")
+    return F.min_by("threshold", rank).alias("threshold")
 
 
 def choose_threshold(scores: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, threshold): the best candidate; of equals the lowest."""
-    rows = measured(threshold_candidates(scores, keys), scores, keys)
-    rank = F.struct(-F.round("balanced_accuracy", 12), -F.round("roc_auc", 12), F.round("false_positive_rate", 12), -F.round("recall", 12), "threshold")
-    return rows.groupBy(*keys).agg(F.min_by("threshold", rank).alias("threshold"))
+    return measured(threshold_candidates(scores, keys)).groupBy(*keys).agg(_best())
 
 
 def choose_strict_threshold(scores: DataFrame, keys: list[str], floor: float = STRICT_FLOOR) -> DataFrame:
     """The floor if it is acceptable, else the largest acceptable candidate, else the best one."""
-    at_floor = evaluate(scores, keys, F.col("score") >= floor).where(accepted()).select(*keys, F.lit(floor).alias("_floor"))
-    largest = measured(threshold_candidates(scores, keys), scores, keys).where(accepted()).groupBy(*keys).agg(F.max("threshold").alias("_largest"))
-    rows = choose_threshold(scores, keys).join(at_floor, keys, "left").join(largest, keys, "left")
-    return rows.select(*keys, F.coalesce("_floor", "_largest", "threshold").alias("threshold"))
+    at_floor = evaluate(scores, keys, F.col("score") >= floor)
+    met = at_floor.select(*keys, "roc_auc", F.when(accepted(), F.lit(floor)).alias("_floor"))
+    # the AUC is the model's, not a candidate's: it is tested once, below
+    rows = measured(threshold_candidates(scores, keys)).withColumn("roc_auc", F.lit(1.0))
+    found = rows.groupBy(*keys).agg(_best(), F.max(F.when(accepted(), F.col("threshold"))).alias("_largest"))
+    largest = F.when(F.col("roc_auc") >= ACCEPTANCE["roc_auc"], F.col("_largest"))
+    return found.join(met, keys).select(*keys, F.coalesce("_floor", largest, "threshold").alias("threshold"))
 
 
 def choose_dual_gate(scores: DataFrame, keys: list[str], strict: bool) -> DataFrame:
@@ -104,10 +111,10 @@ def choose_dual_gate(scores: DataFrame, keys: list[str], strict: bool) -> DataFr
     right = Window.partitionBy(*keys, "_ci").orderBy(F.desc("_cj"))
     up = Window.partitionBy(*keys, "_cj").orderBy(F.desc("_ci"))
     joined = joined.withColumns({"_rp": F.sum("_p").over(right), "_rn": F.sum("_n").over(right)}).withColumns({"tp": F.sum("_rp").over(up), "fp": F.sum("_rn").over(up)})
-    rows = measured(joined.select(*keys, "threshold", "similarity_threshold", "tp", "fp", "p", "n"), scores, keys)
+    rows = measured(joined.select(*keys, "threshold", "similarity_threshold", "tp", "fp", "p", "n"))
     stricter = [F.desc("similarity_threshold"), F.desc("threshold")]
     order = [F.desc("similarity_threshold"), *_order(F.desc("threshold"))] if strict else _order(*stricter)
-    rows = rows.where(accepted()) if strict else rows
+    rows = rows.join(F.broadcast(roc_auc(scores, keys)), keys).where(accepted()) if strict else rows  # a row a model
     best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").select(*keys, "threshold", "similarity_threshold")
     none = scores.select(*keys).distinct().join(best, keys, "left")
     return none.na.fill(0.0, ["threshold", "similarity_threshold"])
@@ -143,7 +150,7 @@ def select_model(compared: DataFrame) -> DataFrame:
     prefer = ["residual_near_miss_contrast_strict", "residual_near_miss_contrast", "residual_margin_strict_dual_gate", "residual_margin_dual_gate"]
     rank = F.coalesce(*[F.when(F.col("model") == m, F.lit(i)) for i, m in enumerate(prefer)], F.lit(9))
     place = F.array_position(F.array(*[F.lit(m) for m in MODELS]), F.col("model"))
-    return compared.orderBy((ok & residual).desc(), strict.desc(), *_order(rank.asc(), place.asc())).limit(1)
+    return compared.orderBy((ok & residual).desc(), strict.desc(), F.round("balanced_accuracy", 12).desc(), F.round("roc_auc", 12).desc(), *_order(rank.asc(), place.asc())).limit(1)
 
 
 def section_scores(residuals: DataFrame, blocks: DataFrame, sections: DataFrame, types: tuple[str, ...]) -> DataFrame:
