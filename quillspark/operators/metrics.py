@@ -33,17 +33,21 @@ def roc_auc(df: DataFrame, keys: list[str], score: str = "score", actual: str =
     return wins.select(*keys, F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / F.greatest(F.lit(1), F.col("_p") * F.col("_n"))).otherwise(0.5).alias("roc_auc"))
 
 
-def evaluate(df: DataFrame, keys: list[str], predicted: Column) -> DataFrame:
-    """Metrics of df (keys, score, actual) for a prediction."""
+def evaluate(df: DataFrame, keys: list[str], predicted: Column, carry: tuple[str, ...] = (), ranked: DataFrame | None = None) -> DataFrame:
+    """Metrics of df (keys, score, actual) for a prediction, and columns to carry, of which a key has one value.
+
+    ranked: the scores that df was made of, if that took a join, which their AUC needn't wait for."""
     counts = df.withColumn("_y", predicted).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
         F.count_if(F.col("actual") & F.col("_y")).alias("tp"),
         F.count_if(~F.col("actual") & ~F.col("_y")).alias("tn"),
         F.count_if(~F.col("actual") & F.col("_y")).alias("fp"),
         F.count_if(F.col("actual") & ~F.col("_y")).alias("fn"),
+        *[F.max(c).alias(c) for c in carry],
     )
     rows = counts.withColumns(ratios(F.col("tp"), F.col("fp"), F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")))
-    return rows.join(roc_auc(df, keys), keys) if keys else rows.crossJoin(roc_auc(df, []))
+    auc = roc_auc(df if ranked is None else ranked, keys)
+    return rows.join(auc, keys) if keys else rows.crossJoin(auc)  # without keys: one row and one row
 
 
 def accepted() -> Column:

@@ -129,13 +129,13 @@ def compare_models(scores: DataFrame, split: str = "validation") -> DataFrame:
     dual = choose_dual_gate(one("residual_margin_dual_gate"), ["model"], False)
     tight = choose_dual_gate(one("residual_margin_strict_dual_gate"), ["model"], True)
     chosen = plain.unionByName(strict).unionByName(dual).unionByName(tight)
-    return chosen.join(evaluate_models(rows, chosen), "model")
+    return evaluate_models(rows, chosen, ("threshold", "similarity_threshold"))
 
 
-def evaluate_models(scores: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Metrics of scores (model, score, target_similarity, actual) for chosen thresholds."""
+def evaluate_models(scores: DataFrame, chosen: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of scores (model, score, target_similarity, actual) for chosen thresholds; carry: columns of chosen."""
     rows = scores.join(F.broadcast(chosen.select("model", "threshold", "similarity_threshold")), "model")
-    return evaluate(rows, ["model"], predicted())
+    return evaluate(rows, ["model"], predicted(), carry, scores)
 
 
 def predicted() -> Column:
