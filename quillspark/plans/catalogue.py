@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import assessment, candidates, controls, embed, features, hard_negatives, leakage, metrics, model, parse, residual, split, topics
 from ..sources import readers
-from . import experiments, mining
+from . import experiments, mining, pipeline
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -735,6 +735,62 @@ def mined_tables(spark, sf):
     return rows
 
 
+@query(f"""WITH {EMB}, k AS (SELECT id, v, list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) AS q1, b, c FROM (SELECT e.id, e.v, p.v AS a, q.v AS b, r.v AS c FROM emb e JOIN emb p ON p.id = e.id + 5 JOIN emb q ON q.id = e.id + 6 JOIN emb r ON r.id = e.id + 7)),
+ k2 AS (SELECT *, list_transform(b, lambda x, i: x - list_dot_product(b, q1) * q1[i]) AS r2 FROM k), k3 AS (SELECT *, list_transform(r2, lambda x: x / sqrt(list_dot_product(r2, r2))) AS q2 FROM k2),
+ k4 AS (SELECT *, list_transform(c, lambda x, i: x - list_dot_product(c, q1) * q1[i] - list_dot_product(c, q2) * q2[i]) AS r3 FROM k3), k5 AS (SELECT *, list_transform(r3, lambda x: x / sqrt(list_dot_product(r3, r3))) AS q3 FROM k4),
+ o AS (SELECT 'work' AS owner_type, id::VARCHAR AS owner_id, id AS work_id, NULL AS block_type, v FROM emb UNION ALL SELECT 'block', 'b' || id, id - id % 4, CASE WHEN id % 2 = 0 THEN 'verse' ELSE 'chorus' END, v FROM emb),
+ u AS (SELECT owner_type, owner_id, work_id, block_type, list_transform(o.v, lambda x, i: x - list_dot_product(o.v, q1) * q1[i] - list_dot_product(o.v, q2) * q2[i] - list_dot_product(o.v, q3) * q3[i]) AS u FROM o JOIN k5 ON k5.id = work_id)
+ SELECT owner_type, owner_id, work_id, block_type, generate_subscripts(u, 1) - 1 AS pos, round(unnest(u) / sqrt(list_dot_product(u, u)), 6) + 0.0 AS value FROM u""")
+def residual_joins(spark, sf):
+    """Vectors as works, and again as blocks of every fourth work; a work's topics are the fifth to seventh vector
+    after it, the last one as the combined profile. Works without all three have no residual, nor have their blocks."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("vector"))
+    owned = lambda kind, owner: e.select(F.lit(kind).alias("owner_type"), owner.cast("string").alias("owner_id"), F.lit(kind).alias("scope"), F.concat(F.lit(f"{kind}-"), "n").alias("id"), "vector")
+    of = lambda scope, after: e.select((F.col("n") - after).cast("string").alias("owner_id"), F.lit(scope).alias("scope"), F.concat(F.lit(f"{scope}-"), "n").alias("id"), "vector")
+    rows = of("emotional_subject", 5).unionByName(of("main_theme", 6)).unionByName(of("combined_topic_profile", 7))
+    whole = rows.groupBy("owner_id").count().where("count = 3")
+    blocks = e.select(F.concat(F.lit("b"), "n").alias("id"), (F.col("n") - F.col("n") % 4).cast("string").alias("work_id"), F.when(F.col("n") % 2 == 0, "verse").otherwise("chorus").alias("type"))
+    out = residual.residuals(owned("work", F.col("n")).unionByName(owned("block", F.concat(F.lit("b"), "n"))), blocks, rows.join(whole, "owner_id", "left_semi"))
+    return out.select("owner_type", "owner_id", F.col("work_id").cast("long").alias("work_id"), "block_type", F.posexplode("vector").alias("pos", "value")).withColumns({"pos": F.col("pos").cast("long"), "value": r6("value") + 0.0})
+
+
+@query("""SELECT 'emb_' || substr(sha256('local-hash-embedding-v1' || chr(31) || 'work' || chr(31) || doc_id || chr(31) || 'work' || chr(31) || sha256(t)), 1, 16) AS id, doc_id::VARCHAR AS owner_id,
+ sha256('local-hash-embedding-v1' || chr(31) || 'work' || chr(31) || doc_id || chr(31) || 'work' || chr(31) || t) AS text_hash, doc_id % 2 = 0 AS reused FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def embedding_cache(spark, sf):
+    """Embedding records of documents, of which every second one is in the cache, and so are texts that are gone."""
+    rows = works(spark, sf).select(F.lit("work").alias("owner_type"), F.col("id").cast("string").alias("owner_id"), F.lit("work").alias("scope"), "text")
+    name = embed.PROVIDERS["hash"][0]
+    keys = [F.lit(name), F.col("owner_type"), F.col("owner_id"), F.col("scope")]
+    hashed = lambda df: df.select(tx.create_id("emb", *keys, F.sha2("text", 256)).alias("id"), "owner_type", "owner_id", "scope", F.lit(name).alias("model"), tx.content_hash(*keys, F.col("text")).alias("text_hash"), F.array(F.lit(-1.0)).alias("vector"))
+    gone = rows.withColumn("text", F.concat("text", F.lit(" (an earlier wording)")))
+    out = embed.embed(rows, "hash", hashed(rows.where("owner_id % 2 = 0")).unionByName(hashed(gone)))
+    return out.select("id", "owner_id", "text_hash", (F.size("vector") == 1).alias("reused"))
+
+
+LABELS = ("Final Chorus 2", "Verse 1: ", "  BRIDGE", "Pre-Intro!", "12", "Outro / fade 3", "Spoken  Word", "final REFRAIN")
+
+
+@query(f"""WITH l AS (SELECT p_partkey AS id, p_name, CASE WHEN p_partkey % 9 < 8 THEN [{quoted(LABELS)}][p_partkey % 9 + 1] ELSE p_type END AS label FROM part), n AS (SELECT *, regexp_replace(lower(label), '[0-9]+', '', 'g') AS low FROM l),
+ m AS (SELECT *, trim(CASE WHEN low LIKE 'final %' THEN substr(low, 7) ELSE low END) AS sec, trim(regexp_replace(trim(low), '[^a-z0-9_]+', '-', 'g'), '-') AS gen FROM n)
+ SELECT id, trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', '-', 'g'), '-') AS slug, CASE WHEN sec LIKE '%chorus%' THEN 'chorus' WHEN sec LIKE '%verse%' THEN 'verse' WHEN sec LIKE '%bridge%' THEN 'bridge' WHEN sec LIKE '%intro%' THEN 'intro' WHEN sec LIKE '%outro%' THEN 'outro'
+  WHEN sec LIKE '%refrain%' THEN 'refrain' WHEN sec = '' THEN 'section' ELSE regexp_replace(sec, '\\s+', '-', 'g') END AS section, CASE WHEN gen = '' THEN 'section' ELSE gen END AS plain FROM m""")
+def labels_and_slugs(spark, sf):
+    label = F.coalesce(F.get(F.array(*[F.lit(x) for x in LABELS]), (F.col("p_partkey") % 9).cast("int")), F.col("p_type"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.slug(F.col("p_name")).alias("slug"), tx.section_label(label).alias("section"), tx.generic_label(label).alias("plain"))
+
+
+@query(f"""WITH {EMB} SELECT id, 'Work ' || id AS title, st AS "set", split, CASE WHEN label = 1 THEN 'generic_pop' ELSE '' END AS control_type, kind, round(sqrt(list_dot_product(v, v)) * f, 6) AS norm FROM es CROSS JOIN (VALUES ('raw', 1, 1), ('residual', 2, 3)) k(kind, f, every) WHERE id % 5 <> 0 AND id % every = 0""")
+def model_vectors(spark, sf):
+    """Raw vectors of works that have a split, and residuals (twice the vector) of every third of them."""
+    v = vectors(spark, sf)
+    made = v.select("id", F.concat(F.lit("Work "), "id").alias("title"), "set", F.struct(F.lit(0).alias("chunk_index"), F.when(F.col("label") == 1, "generic_pop").alias("synthetic_control_type")).alias("metadata"))
+    owned = lambda df, key: df.select(F.lit("work").alias("owner_type"), F.lit("work").alias("scope"), F.col("id").alias(key), "vector")
+    twice = v.where("id % 3 = 0").withColumn("vector", vx.scale(F.col("vector"), 2.0))
+    atoms = owned(v, "owner_id").withColumn("owner_type", F.lit("atom"))
+    rows = pipeline.model_vectors(made, v.where("id % 5 <> 0").select("id", "split"), owned(v, "owner_id").unionByName(atoms), owned(twice, "work_id"))
+    return rows.select("id", "title", "set", "split", "control_type", "kind", r6(vx.norm(F.col("vector"))).alias("norm"))
+
+
 def flagship(spark, sf) -> DataFrame:
     """documents to topics, hash embeddings, residuals, centroids, and scored works with their nearest target."""
     w = split.assign_splits(works(spark, sf), ["set"])
