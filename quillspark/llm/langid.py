@@ -43,6 +43,8 @@ LEAST_KNOWN = 0.5
 RATIO = 20.0
 BITS, PROBES = 20, 4
 SLICE = 1 << 20
+#: A task of the training counts so many n-grams, or a SLICE more, before it passes them on.
+HELD = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -52,23 +54,22 @@ def words(text: str) -> list[str]:
 
 
 def hashes(text: str | None):
-    """Hashes of all n-grams of a text's words, some million at a time."""
+    """Hashes of all n-grams of a text's words, SLICE of them at a time at most."""
     tail = " "
     for piece in pieces((text or "").lower(), BORDER):
         if not (found := words(piece)):
             continue
-        codes = np.frombuffer(f"{tail}{' '.join(found)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        new = len(codes) - len(tail)
+        codes = np.frombuffer(f"{tail}{' '.join(found)} ".encode("utf-32-le", "surrogatepass"), "<u4")
         for n in SIZES:
             # those that end in this piece
-            x = codes[-(min(len(codes), new + n - 1)) :]
-            if len(x) >= n:
+            for at in range(max(0, len(tail) - n + 1), len(codes) - n + 1, SLICE):
+                x = codes[at : at + SLICE + n - 1].astype(np.uint64)
                 h = np.full(len(x) - n + 1, n, np.uint64)
                 for i in range(n):
                     h = (h ^ x[i : len(x) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= h >> np.uint64(29)
                 yield h
-        tail = codes[-(max(SIZES) - 1) :].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        tail = codes[-(max(SIZES) - 1) :].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -133,6 +134,26 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def count_grams(batches):
+    """Rows (lang, gram, n) of batches (lang, text). Some HELD n-grams are held at a time, so one may have several rows."""
+    for pdf in batches:
+        for lang, texts in pdf.groupby("lang").text:
+            held, size = [], 0
+            for h in (h for t in texts for h in hashes(t)):
+                held.append(h)
+                size += len(h)
+                if size >= HELD:
+                    yield _counts(lang, held)
+                    held, size = [], 0
+            if held:
+                yield _counts(lang, held)
+
+
+def _counts(lang: str, held: list[np.ndarray]) -> pd.DataFrame:
+    h, n = np.unique(np.concatenate(held), return_counts=True)
+    return pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n})
+
+
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG) -> Filters:
     """Filters from docs (doc_id, text, lang) that aren't held out. The driver gets grams_per_lang rows a language."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
@@ -144,16 +165,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) / 1_000_003
     sample = rows.where(draw < F.element_at(share, F.col("lang")))
 
-    def count(batches):
-        for pdf in batches:
-            out = []
-            for lang, texts in pdf.groupby("lang").text:
-                h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(grams(t) for t in texts)]), return_counts=True)
-                out.append(pd.DataFrame({"lang": lang, "gram": h.view(np.int64), "n": n}))
-            if out:
-                yield pd.concat(out)
-
-    counted = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInPandas(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("r", order).where(F.col("r") <= grams_per_lang).select("lang", "gram", (F.col("n") / F.col("all")).alias("p")).toPandas()

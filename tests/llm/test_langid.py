@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,41 @@ def test_long_texts_give_the_same_grams(monkeypatch):
     for size in (7, 100, 2500):
         monkeypatch.setattr(langid, "pieces", lambda t, border, size=size: pieces(t, border, size))
         assert Counter(langid.grams(text).tolist()) == whole
+
+
+def test_long_runs_of_letters_come_in_slices(monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 1000)
+    for text in ("abcdefg" * 3000, "ab " + "é" * 999 + " " + "x" * 1001, "x" * 998, "x" * 1000, "a"):
+        got = list(langid.hashes(text))
+        assert max(len(h) for h in got) <= 1000
+        assert sum(len(h) for h in got) == len(plain_grams(text))
+        # one hash for each n-gram, as often as it stands there
+        assert sorted(Counter(x for h in got for x in h.tolist()).values()) == sorted(Counter(plain_grams(text)).values())
+
+
+def test_training_holds_no_whole_batch(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "the cat", "en") for i in range(8)], "doc_id long, text string, lang string")
+    taken, frame = [], type(df)
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, f, *a, real=frame.mapInPandas, **b: taken.append(f) or real(self, f, *a, **b))
+    langid.train(df)
+    rnd = random.Random(4)
+    known = ["".join(rnd.choices("abcdefghé", k=rnd.randint(1, 9))) for _ in range(500)]
+    texts = [" ".join(rnd.choices(known, k=20_000)) for _ in range(60)]
+    batch = pd.DataFrame({"lang": ["en", "de", "en"] * 20, "text": texts})
+    tracemalloc.start()
+    try:
+        counted = {}
+        for rows in taken[0](iter([batch, batch[:0]])):
+            for lang, gram, n in rows.itertuples(index=False):
+                counted.setdefault(lang, Counter())[gram] += n
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 7 million characters, so some 14 million n-grams of 8 bytes
+    assert peak < 64e6
+    for lang, own in counted.items():
+        whole = Counter()
+        for t in batch.text[batch.lang == lang]:
+            whole.update(langid.grams(t).view("int64").tolist())
+        assert own == whole
+    assert set(counted) == {"en", "de"}
