@@ -1,49 +1,125 @@
-"""Embeddings: the deterministic hash embedding in built-in functions, and a plug for other providers."""
+"""Embeddings: the deterministic hash embedding, and a plug for other providers."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DIMENSIONS
-from ..functions.text import content_hash, create_id, words
-from ..functions.vector import let, normalize
+from ..functions.text import content_hash, create_id
+from ..functions.vector import normalize
 from .topics import FIELDS, topic_text
 
 
-def _byte(h: Column, at: int) -> Column:
-    """The byte that two hex digits of a hash stand for."""
-    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
-    return digit(at) * 16 + digit(at + 1)
-
-
-def hash_units(text: Column) -> Column:
-    """The text's words, marked w, its character 3-grams, marked g, and one empty string."""
-    marked = F.transform(words(text), lambda w: F.concat(F.lit("w"), w))
-    # characters are taken apart once: a substring by place would walk the text from its start for each gram
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    rest = lambda cs, n: F.slice(cs, n, F.greatest(F.size(cs), F.lit(1)))
-    three = let(chars, lambda cs: F.zip_with(F.zip_with(cs, rest(cs, 2), lambda a, b: F.concat(F.lit("g"), a, b)), rest(cs, 3), lambda ab, c: F.concat(ab, c)))
-    return F.concat(F.array(F.lit("")), marked, F.filter(three, lambda g: g.isNotNull()))
+#: Characters whose 3-grams are looked up at once, and words that a worker remembers the hash of.
+SLICE, KNOWN = 1 << 20, 1 << 19
+
+
+def _hasher(width: int, slice_: int, known: int):
+    """What a task does; all of it is sent along with the plan, so workers need nothing of this package."""
+    word_of = re.compile("[A-Za-z0-9_]+(?:'+[A-Za-z0-9_]+)*")  # runs of word characters and apostrophes, from word character to word character
+
+    class Places(dict):
+        """Hashes as numbers: bucket, sign, and for words the length up to 12, which their weight goes by."""
+
+        def __init__(self, place):
+            super().__init__()
+            self.place = place
+
+        def __missing__(self, unit: str) -> int:
+            if len(self) >= known:
+                self.clear()
+            self[unit] = at = self.place(unit)
+            return at
+
+    def of_word(w: str) -> int:
+        d = hashlib.sha256(w.encode()).digest()
+        return (d[0] % width * 2 + d[1] % 2) * 13 + min(len(w), 12)
+
+    def of_gram(g: str) -> int:
+        d = hashlib.sha1(g.encode()).digest()
+        return d[0] % width * 2 + d[1] % 2
+
+    words, grams = Places(of_word), Places(of_gram)
+    sign = np.where(np.arange(width * 2) % 2 == 0, 1.0, -1.0)
+    weight = (sign[:, None] * (1 + np.arange(13) / 12)[None, :]).ravel()
+
+    def add_words(sums: np.ndarray, row: int, text: str) -> None:
+        found = word_of.finditer(text)
+        while some := [words[m.group()] for m in islice(found, slice_)]:
+            at = np.array(some)
+            sums[row] += np.bincount(at // 26, weight[at], width)
+
+    def add_grams(sums: np.ndarray, first: int, texts: list[str]) -> None:
+        """3-grams of texts, the rows from first on: characters are numbered, distinct grams hashed once."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+        if len(points) < 3:
+            return
+        there = np.zeros(0x110000, dtype=bool)
+        there[points] = True
+        chars = np.flatnonzero(there)
+        number = np.zeros(0x110000, dtype=np.int64)
+        number[chars] = np.arange(len(chars))
+        c, k = number[points], len(chars)
+        codes = (c[:-2] * k + c[1:-1]) * k + c[2:]
+        ends = np.cumsum([len(t) for t in texts])
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[:-2]
+        inside = np.arange(len(codes)) + 3 <= ends[row]
+        codes, row = codes[inside], row[inside]
+        if k**3 <= 4 * len(codes) + 65_536:
+            distinct = np.flatnonzero(np.bincount(codes, minlength=1))
+            at = np.zeros(k**3, dtype=np.int64)
+        else:
+            distinct, codes = np.unique(codes, return_inverse=True)
+            at = None
+        places = np.array([grams[chr(chars[x // k // k]) + chr(chars[x // k % k]) + chr(chars[x % k])] for x in distinct.tolist()], dtype=np.int64)
+        if at is None:
+            at = places
+        else:
+            at[distinct] = places
+        at = at[codes]
+        counts = np.bincount(row * width + at // 2, sign[at], len(texts) * width)
+        sums[first : first + len(texts)] += 0.15 * counts.reshape(len(texts), width)
+
+    def vectors(texts: pd.Series) -> pd.Series:
+        texts = texts.tolist()
+        sums, held, size = np.zeros((len(texts), width)), [], 0
+        for i, t in enumerate(texts):
+            add_words(sums, i, t)
+            if len(t) > slice_:
+                add_grams(sums, i - len(held), held)
+                for s in range(0, len(t), slice_):
+                    add_grams(sums, i, [t[s : s + slice_ + 2]])
+                held, size = [], 0
+                continue
+            held.append(t)
+            size += len(t)
+            if size > slice_:
+                add_grams(sums, i + 1 - len(held), held)
+                held, size = [], 0
+        add_grams(sums, len(texts) - len(held), held)
+        return pd.Series(list(sums))
+
+    return vectors
+
+
+def hash_vector(text: Column) -> Column:
+    """The text's words and character 3-grams, in lower case, hashed to DIMENSIONS buckets with signs and summed by weight
+    (0.15 a 3-gram), normalised; zeros for a text without words or grams. Row by row: nothing is shuffled."""
+    return normalize(F.pandas_udf(_hasher(DIMENSIONS, SLICE, KNOWN), "array<double>")(F.lower(F.coalesce(text, F.lit("")))))
 
 
 def hash_embedding(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, vector) for each distinct key and text of df; a text without words or grams has the zero vector.
-
-    A text's units are hashed and summed by bucket where they arise: at most DIMENSIONS + 1 sums of it are shuffled."""
-    units = df.select(F.col(key), F.xxhash64(text).alias("_h"), F.explode(hash_units(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_u"))
-    word, value = F.col("_u").startswith("w"), F.substring("_u", 2, 1 << 30)
-    digest = F.when(word, F.sha2(value, 256)).otherwise(F.sha1(value))
-    weight = F.when(word, 1 + F.least(F.length(value), F.lit(12)) / 12).otherwise(F.when(F.col("_u") == "", 0.0).otherwise(0.15))
-    cells = units.select(key, "_h", digest.alias("_d"), weight.alias("_w"), F.col("_u"))
-    bucket = F.when(F.col("_u") == "", -1).otherwise(_byte(F.col("_d"), 1) % DIMENSIONS)
-    cells = cells.select(key, "_h", bucket.alias("_b"), F.when(_byte(F.col("_d"), 3) % 2 == 0, F.col("_w")).otherwise(-F.col("_w")).alias("_x"))
-    sums = cells.groupBy(key, "_h", "_b").agg(F.sum("_x").alias("_x"))
-    sums = sums.groupBy(key, "_h").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    return sums.select(key, normalize(dense).alias("vector"))
+    """(key, vector) for each distinct key and text of df; a text without words or grams has the zero vector."""
+    rows = df.select(F.col(key), F.xxhash64(text).alias("_h"), hash_vector(F.col(text)).alias("vector"))
+    return rows.groupBy(key, "_h").agg(F.any_value("vector").alias("vector")).select(key, "vector")
 
 
 PROVIDERS: dict[str, tuple[str, Callable[[DataFrame, str, str], DataFrame]]] = {"hash": ("local-hash-embedding-v1", hash_embedding)}
@@ -71,5 +147,7 @@ def embed(inputs: DataFrame, provider: str = "hash", cached: DataFrame | None =
     keys = [F.lit(model), F.col("owner_type"), F.col("owner_id"), F.col("scope")]
     rows = inputs.withColumns({"id": create_id("emb", *keys, F.sha2("text", 256)), "model": F.lit(model), "text_hash": content_hash(*keys, F.col("text"))})
     new = rows if cached is None else rows.join(cached.select("text_hash"), "text_hash", "left_anti")
-    done = new.join(run(new, "id", "text"), "id").select("id", "owner_type", "owner_id", "scope", "model", "text_hash", "vector")
+    # the hash embedding is a column; what other providers give is joined by id
+    made = new.withColumn("vector", hash_vector(F.col("text"))) if run is hash_embedding else new.join(run(new, "id", "text"), "id")
+    done = made.select("id", "owner_type", "owner_id", "scope", "model", "text_hash", "vector")
     return done if cached is None else done.unionByName(cached.join(rows.select("text_hash"), "text_hash", "left_semi").select(*done.columns))

@@ -1,5 +1,8 @@
+import hashlib
 import json
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +236,32 @@ def test_centroids_of_an_empty_split_take_all(spark):
     splits = spark.createDataFrame([("w", "target", "train"), ("v", "target", "test")], "id string, set string, split string")
     assert pipeline.section_centroids(res, splits).first()["count"] == 1
     assert pipeline.section_centroids(res, splits, "validation").first()["count"] == 2
+
+
+def plain_embedding(text):
+    """The embedding's sums by the reference's rule, unit by unit."""
+    text, sums = (text or "").lower(), [0.0] * 96
+    for w in re.findall(r"\b[A-Za-z0-9_']+\b", text, re.ASCII):
+        d = hashlib.sha256(w.encode()).digest()
+        sums[d[0] % 96] += (1 + min(len(w), 12) / 12) * (1 if d[1] % 2 == 0 else -1)
+    for i in range(len(text) - 2):
+        d = hashlib.sha1(text[i : i + 3].encode()).digest()
+        sums[d[0] % 96] += 0.15 * (1 if d[1] % 2 == 0 else -1)
+    size = math.sqrt(sum(x * x for x in sums))
+    return [x / size if size > 1e-12 else 0.0 for x in sums]
+
+
+@pytest.mark.parametrize("limits", [(1 << 20, 1 << 19), (7, 5)])
+def test_hash_embedding_unit_by_unit(spark, monkeypatch, limits):
+    """Any characters, one text over many slices, few remembered words; and no row for a unit is made."""
+    monkeypatch.setattr(embed, "SLICE", limits[0])
+    monkeypatch.setattr(embed, "KNOWN", limits[1])
+    many = "".join(chr(0x4E00 + i) for i in range(300))
+    texts = [None, "", "ab", "abc", "Don't 'tis dogs' a__b 9''9 '' x'", "\U0001f600\U0001f601 mixed \U0001f600", "straße ÜBER É", many, "the cat sat " * 40, "a\nb\tc  d", "another one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    out = embed.hash_embedding(df.unionByName(df))
+    got = {r.id: r.vector for r in out.collect()}
+    assert out.count() == len(texts)
+    for i, t in enumerate(texts):
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got[i], plain_embedding(t), strict=True)), t
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
