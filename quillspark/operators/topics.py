@@ -14,8 +14,10 @@ FIELDS = ("main_theme", "emotional_subject", "central_situation", "central_image
 
 
 def keywords(works: DataFrame, key: str = "id", k: int = 6) -> DataFrame:
-    """(key, rank, token, n): the k most frequent tokens of each work, ties by first appearance."""
-    tokens = works.select(key, F.posexplode(topic_tokens(F.col("text"))).alias("_pos", "token")).where(~F.col("token").isin(TOPIC_STOPWORDS))
+    """(key, rank, token, n): the k most frequent tokens of each work, ties by first appearance.
+
+    Texts are dealt out by key first, so they are shuffled instead of their tokens; counts and ranks need no more."""
+    tokens = works.select(key, "text").repartition(key).select(key, F.posexplode(topic_tokens(F.col("text"))).alias("_pos", "token")).where(~F.col("token").isin(TOPIC_STOPWORDS))
     counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("_first"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "_first"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "rank", "token", "n")

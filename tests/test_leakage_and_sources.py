@@ -265,3 +265,11 @@ def test_hash_embedding_unit_by_unit(spark, monkeypatch, limits):
     for i, t in enumerate(texts):
         assert all(abs(x - y) < 1e-9 for x, y in zip(got[i], plain_embedding(t), strict=True)), t
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_shuffle_texts_once(spark):
+    df = spark.createDataFrame([(1, "pear pear plum fig1 kiwi plum apple"), (2, ""), (3, None)], "id long, text string")
+    out = topics.keywords(df)
+    assert sorted((r.id, r["rank"], r.token, r.n) for r in out.collect()) == [(1, 1, "pear", 2), (1, 2, "plum", 2), (1, 3, "kiwi", 1), (1, 4, "apple", 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")
