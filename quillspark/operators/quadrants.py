@@ -96,7 +96,7 @@ class Quadrants:
             size = max(1, int(len(u) ** 0.5))
             firsts = np.arange(0, len(u), size)
             lazy, most = np.zeros(len(firsts), dtype=kind), np.maximum.reduceat(k, firsts)
-            top = None
+            top = -inf, inf, inf  # a strip has points
             for i in range(len(ys)):
                 part, rest = divmod(int(upto[i]), size)
                 lazy[:part] += gain[i]
@@ -107,11 +107,11 @@ class Quadrants:
                     most[part] = k[lo : lo + size].max() + lazy[part]
                 if i + 1 == len(ys) or ys[i + 1] != ys[i]:
                     now = most.max()
-                    if top is None or now > top[0]:
+                    if now > top[0]:
                         j = int(np.flatnonzero(most == now)[-1])
                         lo = j * size
                         top = now, float(ys[i]), float(u[lo + np.flatnonzero(k[lo : lo + size] + lazy[j] == now)[-1]])
-            return pd.DataFrame([] if top is None else [(str(top[0]), top[1], top[2])], columns=["k", "g", "u"])
+            return pd.DataFrame({"k": pd.Series([str(top[0])], dtype=object), "g": [top[1]], "u": [top[2]]})
 
         passed_on = self.points.groupBy("a").applyInPandas(across, "b long, point boolean, x double, y double, p long, n long")
         found = passed_on.groupBy("b").applyInPandas(along, "k string, g double, u double").collect()  # a row a strip

@@ -273,3 +273,24 @@ def test_keywords_shuffle_texts_once(spark):
     assert sorted((r.id, r["rank"], r.token, r.n) for r in out.collect()) == [(1, 1, "pear", 2), (1, 2, "plum", 2), (1, 3, "kiwi", 1), (1, 4, "apple", 1)]
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("limits", [(1 << 20, 1 << 18, 1 << 19), (30, 7, 5)])
+def test_listed_ngrams_give_what_joins_give(spark, monkeypatch, limits):
+    """Targets' n-grams looked up by batch, in slices and with few remembered tokens, against joins; lines, headers, empty
+    and missing texts, letters that lower-casing makes ASCII; and no row for an n-gram of a candidate is made."""
+    rnd = random.Random(7)
+    words = "that this Heron river's stones AND winter hollow it telescope K9 Kelp straße \U0001f600 'tis we".split()
+    text = lambda n: "\n".join(" ".join(rnd.choices(words, k=rnd.randrange(0, 14))) for _ in range(n))
+    cands = [(i, text(rnd.randrange(1, 6))) for i in range(30)] + [(90, text(60)), (91, ""), (92, None), (93, "[heron stones river]\n\n  \n[x] winter hollow"), (94, "heron")]
+    targets = [(i, text(3)) for i in range(4)] + [(8, None), (9, "[winter hollow]\nwinter hollow")]
+    cands.append((95, "some words first\n" + targets[0][1]))
+    c, t = spark.createDataFrame(cands, "id long, text string").repartition(3), spark.createDataFrame(targets, "target_id long, text string")
+    results = lambda: [sorted(map(str, df.collect())) for df in (leakage.longest_runs(c, t), leakage.longest_runs(c, t, 3), leakage.shared_phrases(c, t), leakage.phrase_counts(c, t, 3, 4), leakage.verdicts(c, t), leakage.verdicts(c, t.limit(0)))]
+    for name, value in zip(("SLICE", "TOKENS", "KNOWN"), limits):
+        monkeypatch.setattr(leakage, name, value)
+    assert "Generate" not in leakage._known_phrases(c, t, 2, 6)._jdf.queryExecution().executedPlan().toString()
+    listed = results()
+    monkeypatch.setattr(leakage, "LISTED", 0)
+    assert "Generate" in leakage._known_phrases(c, t, 2, 6)._jdf.queryExecution().executedPlan().toString()
+    assert listed == results() and listed[2] and listed[3] and max(int(re.search(r"run=(\d+)", r)[1]) for r in listed[0]) > 6
