@@ -1,11 +1,12 @@
-"""Works, blocks and atoms from text files: one plan of built-in functions, a shuffle by work only for headers."""
+"""Works, blocks and atoms from text files: one plan of built-in functions, a shuffle by work only for atoms' places."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import create_id, generic_label, lines, section_label, trim
+from ..functions.vector import let
 
 HEADER = r"^\s*\[([^\]]+)\]\s*$"
 
@@ -32,19 +33,25 @@ def parse_works(files: DataFrame, domain: str = "lyrics") -> DataFrame:
 
 
 def parse_blocks(works: DataFrame, key: str = "id", text: str = "text", domain: str = "lyrics") -> DataFrame:
-    """(work, block_index, type, lines) of works: sections under [headers], else paragraphs."""
+    """(work, block_index, type, lines) of works: sections under [headers], else paragraphs. A work is cut up in its row."""
     label = section_label if domain == "lyrics" else generic_label
-    ls = F.split(text, r"\r?\n")
-    marked = works.select(F.col(key).alias("work_id"), F.col(text).alias("_text"), F.exists(ls, lambda x: x.rlike(HEADER)).alias("_headed"))
-    paragraphs = marked.where("not _headed").select("work_id", F.posexplode(F.split("_text", r"\n\s*\n")).alias("_i", "_p"))
-    plain = paragraphs.select("work_id", "_i", F.lit("section").alias("type"), lines(F.col("_p")).alias("lines"))
-    run = Window.partitionBy("work_id").orderBy("_pos")
-    headed = marked.where("_headed").select("work_id", F.posexplode(F.split("_text", r"\r?\n")).alias("_pos", "_line"))
-    headed = headed.withColumn("_h", F.regexp_extract("_line", HEADER, 1)).withColumn("_i", F.sum((F.col("_h") != "").cast("int")).over(run))
-    blocks = headed.groupBy("work_id", "_i").agg(F.max(F.when(F.col("_h") != "", F.col("_h"))).alias("_h"), F.sort_array(F.collect_list(F.when(F.col("_h") == "", F.struct("_pos", "_line")))).alias("_ls"))
-    blocks = blocks.select("work_id", "_i", F.coalesce(label(F.col("_h")), F.lit("section")).alias("type"), F.filter(F.transform("_ls._line", trim), lambda x: x != "").alias("lines"))
-    kept = plain.unionByName(blocks).where(F.size("lines") > 0)
-    return kept.select("work_id", (F.row_number().over(Window.partitionBy("work_id").orderBy("_i")) - 1).alias("block_index"), "type", "lines")
+    full = lambda ls: F.filter(F.transform(ls, trim), lambda x: x != "")
+    block = lambda kind, ls: F.struct(kind.alias("type"), ls.alias("lines"))
+
+    def sections(ls: Column, heads: Column) -> Column:
+        """What stands before the first header and between one and the next."""
+        at = F.filter(F.transform(heads, lambda h, i: F.when(h != "", i)), lambda i: i.isNotNull())
+        ends = F.concat(at, F.array(F.size(ls)))
+        part = lambda a, e: block(F.coalesce(label(F.when(a >= 0, F.get(heads, a))), F.lit("section")), full(F.slice(ls, a + 2, e - a - 1)))
+        return F.zip_with(F.concat(F.array(F.lit(-1)), at), ends, part)
+
+    by_line = F.split("_text", r"\r?\n")
+    headed = let(by_line, lambda ls: let(F.transform(ls, lambda x: F.regexp_extract(x, HEADER, 1)), lambda heads: sections(ls, heads)))
+    plain = F.transform(F.split("_text", r"\n\s*\n"), lambda p: block(F.lit("section"), lines(p)))
+    blocks = F.when(F.exists(by_line, lambda x: x.rlike(HEADER)), headed).otherwise(plain)
+    rows = works.select(F.col(key).alias("work_id"), F.col(text).alias("_text"))
+    rows = rows.select("work_id", F.posexplode(F.filter(blocks, lambda b: F.size(b["lines"]) > 0)).alias("block_index", "_b"))
+    return rows.select("work_id", "block_index", "_b.type", "_b.lines")
 
 
 def blocks_and_atoms(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
@@ -53,3 +56,33 @@ def test_features_and_topics(spark):
     p = topics.topic_profiles(works).first()
     assert p.main_theme == "verse, said, here" and p.central_image == "verse" and p.emotional_subject == "know, stop, chorus"
     assert topics.refresh_topics(works, topics.topic_profiles(works).withColumn("main_theme", F.lit("kept"))).first().main_theme == "kept"
+
+
+def test_blocks_are_cut_up_without_a_shuffle(spark):
+    """Headers next to each other, at both ends, before blank lines and not alone in their line, against a plain loop."""
+    rnd = random.Random(3)
+    some = ["[Verse 2]", " [Chorus]\t", "[]", "[Bridge] x", "", "  ", "red", " blue　", "a\rb", "[ ]", "[12]"]
+    texts = ["".join(rnd.choice(some) + rnd.choice(["\n", "\r\n", "\n\n", "\n \n"]) for _ in range(rnd.randrange(0, 12))) for _ in range(60)] + ["", "[Verse]", None]
+    space = " \t\n\x0b\f\r ﻿     　" + "".join(map(chr, range(0x2000, 0x200B)))
+
+    def plain(text):
+        ls = re.split(r"\r?\n", text)
+        head = [re.match(r"^[ \t\n\x0b\f\r]*\[([^\]]+)\][ \t\n\x0b\f\r]*$", x) for x in ls]
+        if not any(head):
+            parts = [("section", re.split(r"\r?\n", p)) for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", text)]
+        else:
+            parts = [(None, [])]
+            for x, h in zip(ls, head):
+                parts.append((h[1], [])) if h else parts[-1][1].append(x)
+            named = lambda x: re.sub("[0-9]+", "", x.lower()).strip(space)
+            parts = [(next((k for k in ("chorus", "verse", "bridge") if h and k in named(h)), "section"), ls) for h, ls in parts]
+        parts = [(kind, [x.strip(space) for x in ls if x.strip(space)]) for kind, ls in parts]
+        return [(i, *p) for i, p in enumerate(p for p in parts if p[1])]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = parse.parse_blocks(df)
+    got = {}
+    for r in out.orderBy("work_id", "block_index").collect():
+        got.setdefault(r.work_id, []).append((r.block_index, r.type, r.lines))
+    assert got == {i: plain(t) for i, t in enumerate(texts) if t is not None and plain(t)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
