@@ -29,6 +29,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(BORDER + r"[A-Za-z0-9_']+" + BORDER), F.lit(0))
 
 
+def word_count(c: Column) -> Column:
+    """How many words there are: they reach from word character to word character, so no borders need be tested."""
+    return F.regexp_count(c, F.lit("[A-Za-z0-9_]+(?:'+[A-Za-z0-9_]+)*"))
+
+
 def topic_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(BORDER + r"[a-z']{4,}" + BORDER), F.lit(0))
 
@@ -38,8 +43,8 @@ def leak_tokens(c: Column) -> Column:
 
 
 def alternation(c: Column, listed: list[str]) -> Column:
-    """How often a text holds one of the words listed, in any case."""
-    return F.regexp_count(c, F.lit(f"(?i){BORDER}(?:{'|'.join(listed)}){BORDER}"))
+    """How often a text holds one of the words listed, in any case. They begin and end with ASCII word characters."""
+    return F.regexp_count(c, F.lit(f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(listed)})(?![A-Za-z0-9_])"))
 
 
 def content_hash(*parts: Column) -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIRST_PERSON, SECOND_PERSON
-from ..functions.text import alternation, words
+from ..functions.text import alternation, word_count
 
 
 def atom_features(atoms: DataFrame) -> DataFrame:
     t = F.col("text")
     return atoms.withColumns({
-        "word_count": F.size(words(t)),
+        "word_count": word_count(t),
         "character_count": F.length(t),
         "question_mark_present": t.contains("?"),
         "exclamation_mark_present": t.contains("!"),
@@ -23,7 +23,7 @@ def atom_features(atoms: DataFrame) -> DataFrame:
 
 
 def block_features(atoms: DataFrame, keys: list[str]) -> DataFrame:
-    rows = atoms.withColumn("_w", F.size(words(F.col("text"))))
+    rows = atoms.withColumn("_w", word_count(F.col("text")))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("line_count"), F.avg("_w").alias("average_words_per_line"), (F.count(F.lit(1)) - F.countDistinct(F.lower("text"))).alias("repeated_line_count"))
 
 

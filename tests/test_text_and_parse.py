@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillspark.config import FIRST_PERSON
 from quillspark.functions import text as tx
 from quillspark.operators import features, parse, topics
 
@@ -86,3 +87,16 @@ def test_blocks_are_cut_up_without_a_shuffle(spark):
         got.setdefault(r.work_id, []).append((r.block_index, r.type, r.lines))
     assert got == {i: plain(t) for i, t in enumerate(texts) if t is not None and plain(t)}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_as_they_are_found(spark):
+    """Counts by patterns without borders, and trimming by characters, against the patterns with borders."""
+    rnd = random.Random(5)
+    rows = [("".join(rnd.choices("ab_9'' é.-I  ﻿\U0001f600", k=rnd.randrange(0, 14))),) for _ in range(400)] + [("I'm me, ME my_ _i mine9 i'i you're yours",), ("",), (None,)]
+    t = F.col("t")
+    bordered = lambda ws: F.regexp_count(t, F.lit(f"(?i){tx.BORDER}(?:{'|'.join(ws)}){tx.BORDER}"))
+    df = spark.createDataFrame(rows, "t string").select("t", tx.word_count(t).alias("n"), F.size(tx.words(t)).alias("m"), tx.alternation(t, FIRST_PERSON).alias("f"), bordered(FIRST_PERSON).alias("g"), tx.trim(t).alias("x"), F.regexp_replace(t, f"^{tx.SPACE}+|{tx.SPACE}+$", "").alias("y"))
+    for r in df.collect():
+        assert r.t is None and r.n is None or (r.n, r.f, r.x) == (r.m, r.g, r.y), r
+    plan = features.atom_features(df.select(t.alias("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "(?<=" not in plan  # no border is tested at each place of a text
