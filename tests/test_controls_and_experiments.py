@@ -2,7 +2,7 @@ import os
 
 from quillspark.config import Config
 from quillspark.operators import assessment, controls, domains, parse
-from quillspark.plans import experiments
+from quillspark.plans import catalogue, experiments
 
 
 def test_controls_are_parsed_back(spark, tmp_path):
@@ -58,3 +58,11 @@ def test_experiment_waits_for_readiness_and_runs(spark, tmp_path):
     assert len(rows) == 8 and all(isinstance(x, bool) for x in rows.values())
     assert isinstance(assessment.meets(got["acceptance"]).first()[0], bool)
     assert os.path.isdir(f"{out}/reports/acceptance.md")
+
+
+def test_style_pipeline_keeps_its_vectors(spark):
+    """All readers of the vectors scan the kept ones, so texts are embedded for two columns of them only."""
+    spark.catalog.clearCache()
+    out = catalogue.flagship(spark, "/root/testdata/sf0.001")
+    assert "InMemoryTableScan" in out._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
